@@ -33,7 +33,13 @@ def _headers(categories: list[tuple[str, str]]) -> Column:
 def category_headers(pages: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     """One row per (category, heading element)."""
     found = pages.select(*keys, F.inline(_headers(rules.categories)))
-    return found.select(*keys, "category_ord", "category", F.col("header.node_id").alias("header_id"))
+    return found.select(
+        *keys,
+        "category_ord",
+        "category",
+        F.col("header.node_id").alias("header_id"),
+        F.col("header.id").alias("element_id"),
+    )
 
 
 def _header_links(h: Column) -> Column:
