@@ -16,3 +16,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     binds the value to a lambda variable instead.
     """
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def computed(*columns: Column) -> Column:
+    """Columns computed once per row, for ``select``: a filter on them stays above.
+
+    Catalyst moves a filter below a projection by repeating the projected
+    expressions inside the filter.  For page-sized array expressions that means
+    doing the work twice, so they are emitted by a one-row generator, which
+    filters do not pass.
+    """
+    return F.inline(F.array(F.struct(*columns)))

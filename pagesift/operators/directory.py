@@ -18,15 +18,14 @@ from pagesift.sources.rules import GLOBE_CLASS, Rules
 
 def _headers(categories: list[tuple[str, str]]) -> Column:
     """Heading nodes of every category, in category order then document order."""
-    per_category = [
-        F.transform(
+
+    def of(k: int, name: str, css: str) -> Column:
+        return F.transform(
             dom.select(css),
-            lambda h, k=k, name=name: F.struct(
-                F.lit(k).alias("category_ord"), F.lit(name).alias("category"), h.alias("header")
-            ),
+            lambda h: F.struct(F.lit(k).alias("category_ord"), F.lit(name).alias("category"), h.alias("header")),
         )
-        for k, (name, css) in enumerate(categories)
-    ]
+
+    per_category = [of(k, name, css) for k, (name, css) in enumerate(categories)]
     return F.flatten(F.array(*per_category))
 
 

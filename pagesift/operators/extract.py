@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom
-from pagesift.functions.binding import let
+from pagesift.functions.binding import computed, let
 from pagesift.functions.css import select_by_steps, selector_steps
 from pagesift.functions.text import is_blank
 from pagesift.functions.urls import abs_url, is_result_href, origin, url_escape, url_slug
@@ -160,12 +160,11 @@ def resolve(candidates: DataFrame, site_url: str = "url") -> DataFrame:
     Links and images resolve on the site URL, not on the result page.
     """
     base = F.col(site_url)
-    return (
-        candidates.withColumn("result_url", abs_url(base, F.col("href")))
-        .filter(F.col("result_url").isNotNull())
-        .withColumn("slug", url_slug(F.col("result_url")))
-        .withColumn("image_url", abs_url(base, F.col("image")))
+    urls = computed(
+        abs_url(base, F.col("href")).alias("result_url"), abs_url(base, F.col("image")).alias("image_url")
     )
+    resolved = candidates.select("*", urls).filter(F.col("result_url").isNotNull())
+    return resolved.withColumn("slug", url_slug(F.col("result_url")))
 
 
 def extract(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom
-from pagesift.functions.binding import let
+from pagesift.functions.binding import computed, let
 from pagesift.functions.text import is_blank, lower_chars
 from pagesift.functions.urls import search_template
 
@@ -135,12 +135,14 @@ def with_candidates(pages: DataFrame) -> DataFrame:
 def with_best_input(pages: DataFrame) -> DataFrame:
     """Adds ``best``: a lone candidate wins unscored; else the best positive named one, first on ties."""
     usable = F.filter("inputs", lambda c: (c["score"] > 0) & ~is_blank(c["name"]))
-    ranked = F.transform(
-        usable, lambda c: F.struct(c["score"].alias("score"), (-c["input_id"]).alias("back"), c["name"], c["action"])
+    # A strictly better score replaces the leader, so the first one stays on ties.
+    best = F.aggregate(
+        usable,
+        F.get(usable, 0),
+        lambda top, c: F.when(c["score"] > top["score"], c).otherwise(top),
     )
-    top = F.array_max(F.transform(ranked, lambda r: F.struct(r["score"], r["back"])))
-    chosen = let(top, lambda t: F.get(F.filter(usable, lambda c: c["input_id"] == -t["back"]), 0))
-    return with_candidates(pages).withColumn("best", F.when(F.size("inputs") == 1, F.get("inputs", 0)).otherwise(chosen))
+    chosen = F.when(F.size("inputs") == 1, F.get("inputs", 0)).otherwise(best)
+    return with_candidates(pages).select("*", computed(chosen.alias("best")))
 
 
 def search_links(pages: DataFrame, *keys: str, site_url: str = "url") -> DataFrame:
@@ -158,4 +160,4 @@ def search_links(pages: DataFrame, *keys: str, site_url: str = "url") -> DataFra
         .when(F.col("best.name").isNull(), F.lit("no_name"))
         .when(F.col("search_url").isNull(), F.lit("bad_action"))
     )
-    return with_url.select(*keys, "search_url", reason.alias("reject_reason"))
+    return with_url.select(*keys, computed(F.col("search_url"), reason.alias("reject_reason")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.functions.binding import computed
 from pagesift.functions.fuzzy import score_adjustment, weighted_ratio
 from pagesift.functions.text import clean_title, normalise_string
 
@@ -34,11 +35,9 @@ def title_or_slug(candidates: DataFrame) -> DataFrame:
     both = with_ranking_score(texts, "query", "_title", "_title_score")
     both = with_ranking_score(both, "query", "_slug", "_slug_score")
     slug_wins = ~F.col("is_anchor_card") & (F.col("_slug_score") > F.col("_title_score"))
-    return (
-        both.withColumn("score", F.when(slug_wins, F.col("_slug_score")).otherwise(F.col("_title_score")))
-        .withColumn("title", clean_title(F.when(slug_wins, F.col("slug")).otherwise(F.col("raw_title"))))
-        .drop("_title", "_slug", "_title_score", "_slug_score")
-    )
+    score = F.when(slug_wins, F.col("_slug_score")).otherwise(F.col("_title_score"))
+    title = clean_title(F.when(slug_wins, F.col("slug")).otherwise(F.col("raw_title")))
+    return both.select(*candidates.columns, computed(score.alias("score"), title.alias("title")))
 
 
 def result_rows(scored: DataFrame, *keys: str) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.urls import fill_template_uri
+from pagesift.functions.urls import fill_template_form, fill_template_uri
 from pagesift.functions.text import normalise_string
 from pagesift.sources.links import link_id
+from pagesift.sources.rules import NONSENSE_QUERY, PROBE_QUERIES
 
 PARTS_PER_SITE = 20
 SITES_PER_DIRECTORY = 10
@@ -283,3 +284,26 @@ def probe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         "site", "probe_no", "html", F.expr("cast((site * 7 + probe_no * 3) % 50 + 10 as bigint)").alias("elapsed_ms")
     )
+
+
+def probe_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """captures: the probe pages under the URLs that discovery asks for.
+
+    Variant 8 homes point to another host, which was not captured.
+    """
+    site, variant = F.col("site"), F.expr(f"cast(site % {len(HOME_FORMS)} as int)")
+    path = (
+        F.when(variant.isin(0, 10), F.lit("/find?q={0}"))
+        .when(variant == 1, F.lit("/find?s={0}"))
+        .when(variant == 7, F.lit("/find?search%20box={0}#top"))
+        .when(variant == 11, F.concat(F.lit("/find?f"), (site % 10).cast("string"), F.lit("={0}")))
+    )
+    books = [NONSENSE_QUERY, *PROBE_QUERIES["Books"]]
+    movies = [NONSENSE_QUERY, *PROBE_QUERIES["Movies"]]
+    terms = F.when(site % 3 == 0, F.array(*[F.lit(t) for t in books])).otherwise(F.array(*[F.lit(t) for t in movies]))
+    url = fill_template_form(F.concat(site_url(site), path), F.get(terms, F.col("probe_no")))
+    return (
+        probe_pages(spark, sf_dir)
+        .select((site * 3 + F.col("probe_no") + 3_000_000_000).alias("capture_id"), url.alias("url"), "html", "elapsed_ms")
+        .filter("url is not null")
+    )
