@@ -196,3 +196,10 @@ def carry_over(outcomes: DataFrame, carry: DataFrame | None, horizon_us: int | N
 def replay(attached: DataFrame, results: DataFrame) -> DataFrame:
     """Every reader gets the full result set of the run it shares, once: results keyed by (key, start_us)."""
     return attached.join(results, ["key", "start_us"])
+
+
+def read_through(queries: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows of the queries that have any, queries to be searched); ``stored`` is live already."""
+    hits = queries.join(stored, "query")
+    misses = queries.join(stored.select("query").distinct(), "query", "left_anti")
+    return hits, misses

@@ -17,8 +17,8 @@ RESULT_DDL = (
     "title string, result_url string, category string, website_title string, search_url string, "
     "website_starred boolean, score int, image_url string, alt_text string"
 )
-HEADER_DDL = "query string, created_at timestamp, n_results bigint, created_day date"
-ROW_DDL = f"query string, rank bigint, {RESULT_DDL}, created_at timestamp, created_day date"
+HEADER_DDL = "query string, created_at timestamp, n_results bigint, created_day date, batch string"
+ROW_DDL = f"query string, rank bigint, {RESULT_DDL}, created_at timestamp, created_day date, batch string"
 RESULT_TTL = "7 days"
 
 
@@ -50,16 +50,16 @@ def remove_results(stored: DataFrame, queries: DataFrame) -> DataFrame:
     return stored.join(queries.select("query"), "query", "left_anti").select(*stored.columns)
 
 
-def _by_day(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("created_day", F.to_date("created_at"))
-
-
 class ResultStore:
-    """Headers and rows, partitioned by day: expired days are skipped by partition pruning."""
+    """Headers and rows, partitioned by day and write batch.
+
+    Expired days are skipped by partition pruning.  A batch that is written
+    again, as after a lost job, replaces its own partitions.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.headers = VersionedTable(spark, f"{path}/headers", HEADER_DDL, ["created_day"])
-        self.rows = VersionedTable(spark, f"{path}/rows", ROW_DDL, ["created_day"])
+        self.headers = VersionedTable(spark, f"{path}/headers", HEADER_DDL, ["created_day", "batch"])
+        self.rows = VersionedTable(spark, f"{path}/rows", ROW_DDL, ["created_day", "batch"])
 
     def _live(self, table: VersionedTable, as_of: str) -> DataFrame:
         first_day = F.to_date(F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {RESULT_TTL}"))
@@ -69,20 +69,23 @@ class ResultStore:
         return self._live(self.headers, as_of)
 
     def get(self, queries: DataFrame, as_of: str) -> DataFrame:
-        return stored_results(queries, self._live(self.rows, as_of))
+        """Live stored rows; rows without a header are not stored yet."""
+        known = self.live_headers(as_of).select("query", "created_at")
+        return stored_results(queries, self._live(self.rows, as_of).join(known, ["query", "created_at"], "left_semi"))
 
-    def put(self, searched: DataFrame, ranked: DataFrame, as_of: str) -> None:
+    def put(self, searched: DataFrame, ranked: DataFrame, as_of: str, batch: str) -> None:
         """Store finished searches: ``searched(query, created_at)`` and their ranked rows.
 
-        Rows go first and headers last: a query counts as stored only when its
-        header is there.
+        A query that is already stored and live is left as it is.  Rows go
+        first and headers last: a query counts as stored when its header is there.
         """
-        known = self.live_headers(as_of)
+        known = self.live_headers(as_of).filter(F.col("batch") != batch)
+        named = (F.to_date("created_at").alias("created_day"), F.lit(batch).alias("batch"))
         rows = put_results(known, ranked).join(searched.select("query", "created_at"), "query")
-        self.rows.append(_by_day(rows.select("query", "rank", *RESULT_COLUMNS, "created_at")))
+        self.rows.append(rows.select("query", "rank", *RESULT_COLUMNS, "created_at", *named))
         counts = ranked.groupBy("query").agg(F.count("*").alias("n_results"))
         headers = put_headers(known, searched).join(counts, "query", "left").fillna(0, ["n_results"])
-        self.headers.append(_by_day(headers.select("query", "created_at", "n_results")))
+        self.headers.append(headers.select("query", "created_at", "n_results", *named))
 
     def remove(self, queries: DataFrame) -> None:
         self.headers.rewrite(remove_results(self.headers.read(), queries))

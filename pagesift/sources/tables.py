@@ -36,9 +36,22 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(self._folder(version))
 
     def append(self, rows: DataFrame) -> None:
-        out = rows.select(*self.spark.createDataFrame([], self.schema).columns)
-        out.write.mode("append").partitionBy(*self.partition_by).parquet(self._folder(self._version() or 1))
+        """Add rows to the current version.
+
+        A partitioned table replaces the partitions that occur in ``rows``, so
+        writing the same batch twice does not double it.
+        """
+        if not self._version():
+            self.rewrite(self.spark.createDataFrame([], self.schema))
+        out = self._ordered(rows).write.partitionBy(*self.partition_by)
+        folder = self._folder(self._version())
+        if self.partition_by:
+            out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+        else:
+            out.mode("append").parquet(folder)
+
+    def _ordered(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.spark.createDataFrame([], self.schema).columns)
 
     def rewrite(self, rows: DataFrame) -> None:
-        out = rows.select(*self.spark.createDataFrame([], self.schema).columns)
-        out.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder(self._version() + 1))
+        self._ordered(rows).write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder(self._version() + 1))
