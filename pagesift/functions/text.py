@@ -37,17 +37,19 @@ def lower_chars(x: Column) -> Column:
 
 
 def _capital(c: Column) -> Column:
-    return let(c, lambda v: F.when((F.length(F.upper(v)) == 1) & (v != "ı"), F.upper(v)).otherwise(v))
+    """Upper case of one character, where that is one character."""
+    return F.when((F.length(F.upper(c)) == 1) & (c != "ı"), F.upper(c)).otherwise(c)
 
 
 def clean_title(x: Column) -> Column:
     """Collapse white space; capitalise each word unless it already has a capital letter."""
     # Runs of white space are one space by now, so only single spaces are left to trim.
     words = F.split(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " ")), " ")
+    # A word that is lower-cased here has no capital letter, so plain ``lower`` is per character.
     cased = F.transform(
         words,
         lambda w: F.when(w.rlike(r"\p{Lu}"), w).otherwise(
-            F.concat(_capital(F.substring(w, 1, 1)), lower_chars(w.substr(F.lit(2), F.length(w))))
+            F.concat(_capital(F.left(w, F.lit(1))), F.lower(w.substr(F.lit(2), F.length(w))))
         ),
     )
     return F.array_join(cased, " ")

@@ -54,9 +54,8 @@ def search_fanout(queries: DataFrame, links: DataFrame, captures: DataFrame) ->
 
 def with_cards(pages: DataFrame, selector: str = "selector") -> DataFrame:
     """Adds ``cards``: the nodes matching each site's own selector."""
-    return pages.withColumn("_steps", selector_steps(F.col(selector))).withColumn(
-        "cards", select_by_steps(F.col("_steps"))
-    )
+    steps = pages.select("*", computed(selector_steps(F.col(selector)).alias("_steps")))
+    return steps.select("*", computed(select_by_steps(F.col("_steps")).alias("cards"))).drop("_steps")
 
 
 def _card_hrefs(card: Column, count_self_href: bool) -> Column:
@@ -74,7 +73,7 @@ def with_href_cards(pages: DataFrame, count_self_href: bool = True) -> DataFrame
     anchor; without it such a card can never give a result.
     """
     per_card = F.transform("cards", lambda c: _card_hrefs(c, count_self_href))
-    return pages.withColumn("card_hrefs", F.sort_array(F.flatten(per_card)))
+    return pages.select("*", computed(F.sort_array(F.flatten(per_card)).alias("card_hrefs")))
 
 
 def with_unique_hrefs(pages: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def with_unique_hrefs(pages: DataFrame) -> DataFrame:
         after = F.coalesce(F.get("card_hrefs", i + 1) == href, F.lit(False))
         return ~before & ~after
 
-    return pages.withColumn("unique_hrefs", F.filter("card_hrefs", alone))
+    return pages.select("*", computed(F.filter("card_hrefs", alone).alias("unique_hrefs")))
 
 
 def href_card_count(pages: DataFrame, *keys: str) -> DataFrame:

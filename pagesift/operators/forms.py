@@ -110,7 +110,7 @@ def _form_facts() -> Column:
 
 def with_forms(pages: DataFrame) -> DataFrame:
     """Adds ``forms``: facts of every form of the page."""
-    return pages.withColumn("forms", _form_facts())
+    return pages.select("*", computed(_form_facts().alias("forms")))
 
 
 def with_candidates(pages: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def with_candidates(pages: DataFrame) -> DataFrame:
         )
 
     good = F.filter("forms", lambda f: f["likely"] & f["is_get"] & (f["n_inputs"] == 1))
-    return with_forms(pages).withColumn("inputs", F.transform(good, candidate))
+    return with_forms(pages).select("*", computed(F.transform(good, candidate).alias("inputs")))
 
 
 def with_best_input(pages: DataFrame) -> DataFrame:

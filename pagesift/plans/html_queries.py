@@ -248,14 +248,14 @@ def child_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalise_string", f"select doc_id, {normal('text')} as normalised from documents")
 def normalise_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.table(spark, sf_dir, "documents").select(
+    return render.documents(spark, sf_dir).select(
         "doc_id", text.normalise_string(F.col("text")).alias("normalised")
     )
 
 
 @query("clean_title", f"select doc_id, {title_case('text')} as cleaned from documents")
 def clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.table(spark, sf_dir, "documents").select(
+    return render.documents(spark, sf_dir).select(
         "doc_id", text.clean_title(F.col("text")).alias("cleaned")
     )
 
@@ -350,7 +350,7 @@ def pagination_text(spark: SparkSession, sf_dir: str) -> DataFrame:
        from documents""",
 )
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.table(spark, sf_dir, "documents").select(
+    return render.documents(spark, sf_dir).select(
         "doc_id", text.complexity(F.col("doc_id") % 7, F.col("text")).alias("complexity")
     )
 
@@ -386,7 +386,7 @@ _SKIP = "|".join(w.lower().replace(".", "[.]") for w in dict.fromkeys(LINK_SKIP_
 )
 def link_skip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = nav_links(spark, sf_dir).select("page_id", "ord", "href", "text")
-    docs = render.table(spark, sf_dir, "documents").select(
+    docs = render.documents(spark, sf_dir).select(
         (F.col("doc_id") + 1_000_000_000).alias("page_id"), F.lit(0).alias("ord"), F.lit("").alias("href"), "text"
     )
     both = nav.unionByName(docs)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.urls import fill_template_form, fill_template_uri
 from pagesift.functions.text import normalise_string
+from pagesift.sources.captures import spread_scan
 from pagesift.sources.links import link_id
 from pagesift.sources.rules import NONSENSE_QUERY, PROBE_QUERIES
 
@@ -27,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for page groups: parsing a page costs far more than its size suggests to AQE."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fmt(template: str, **values: Column) -> Column:
     """A text with ``{name}`` places filled by columns."""
     out, rest = [], template
@@ -76,7 +86,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(normalise_string(F.col("p_name")).alias("query")).distinct()
 
 
-def card(p: DataFrame) -> Column:
+def card() -> Column:
     """One result card; its shape depends on ``j % 5`` and ``p_size % 3``.
 
     0: image link and h2; 1: text link; 2: card text only; 3: a link that two
@@ -115,7 +125,8 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.col("site")
     made = (
         parts(spark, sf_dir)
-        .withColumn("card", card(None))
+        .withColumn("card", card())
+        .repartition(tasks(spark), "site")
         .groupBy("site")
         .agg(
             F.sort_array(F.collect_list(F.struct("j", "card"))).alias("cards"),
@@ -172,7 +183,7 @@ def home_html(variant: Column, number: Column) -> Column:
 def customer_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """captures: one home page per customer."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return spread_scan(table(spark, sf_dir, "customer").select("c_custkey")).select(
         key.alias("capture_id"),
         fmt("https://c{k}.example.com/shop/index", k=key).alias("url"),
         home_html(key % len(HOME_FORMS), key % 10).alias("html"),
@@ -213,7 +224,7 @@ def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = F.filter("rows", lambda r: r["slot"] == slot)
         return F.array_join(F.transform(rows, lambda r: r["entry"]), "")
 
-    grouped = twice.groupBy("page_ord").agg(F.sort_array(F.collect_list(F.struct("slot", "site", "entry"))).alias("rows"))
+    grouped = twice.repartition(tasks(spark), "page_ord").groupBy("page_ord").agg(F.sort_array(F.collect_list(F.struct("slot", "site", "entry"))).alias("rows"))
     body = (
         HEAD + "<h2 id='none'>Empty</h2><p>text</p><h2 id='c0'>A</h2><p>intro</p><ul>{l0}</ul><h2 id='c1'>B</h2>"
         "<ul>{l1}</ul><div><h3 id='c2'>C</h3><ul>{l2}</ul></div><h2 id='c3'>D</h2><ul>{l3}</ul>" + FOOT
@@ -263,6 +274,7 @@ def probe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = (
         parts(spark, sf_dir)
         .withColumn("probe_no", F.expr("1 + j % 2"))
+        .repartition(tasks(spark), "site", "probe_no")
         .groupBy("site", "probe_no")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("j"), one.alias("card")))).alias("cards"))
         .withColumn("body", F.array_join(F.transform("cards", lambda c: c["card"]), ""))

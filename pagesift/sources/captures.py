@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A plain table scan, spread over the cores when it has fewer splits than that.
+
+    For CPU-heavy work on small files.  A large table has more splits than
+    cores and is never shuffled here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_captures(
     spark: SparkSession, path: str, capture_id: str = "capture_id", elapsed_ms: str | None = "elapsed_ms"
 ) -> DataFrame:
     """``captures(capture_id, url, html, elapsed_ms)`` from Parquet.
 
-    Parsing is CPU work in Python, so a scan with fewer splits than cores is
-    spread first.  A large table has more splits than cores and is never
-    shuffled here.
+    ``elapsed_ms`` names the column, if there is one.
     """
     raw = spark.read.parquet(path)
     elapsed = F.col(elapsed_ms).cast("bigint") if elapsed_ms else F.lit(None).cast("bigint")
-    scan = raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms"))
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores, "capture_id") if raw.rdd.getNumPartitions() < cores else scan
+    return spread_scan(raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms")))
 
 
 def fetch(wanted: DataFrame, captures: DataFrame, url: str = "url") -> DataFrame:
