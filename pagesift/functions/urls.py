@@ -40,11 +40,6 @@ def fill_template_form(template: Column, query: Column) -> Column:
     return F.replace(template, F.lit("{0}"), form_escape(query))
 
 
-def origin(url: Column) -> Column:
-    """``scheme://authority`` as written; empty when the URL has none."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
-
-
 def is_absolute(url: Column) -> Column:
     return F.coalesce(url.rlike(_SCHEME), F.lit(False))
 

@@ -189,8 +189,8 @@ def carry_over(outcomes: DataFrame, carry: DataFrame | None, horizon_us: int | N
     state = new.groupBy("key").agg(F.max("start_us").alias("start_us"), F.max("search_us").alias("search_us"))
     if horizon_us is None:
         return state
-    newest = state.agg(F.max("start_us").alias("_newest"))
-    return state.join(F.broadcast(newest), F.col("start_us") >= F.col("_newest") - horizon_us).drop("_newest")
+    newest = state.agg(F.max("start_us").alias("newest")).first()["newest"]
+    return state if newest is None else state.filter(F.col("start_us") >= newest - horizon_us)
 
 
 def replay(attached: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,37 +9,55 @@ from pagesift.functions import dom
 from pagesift.functions.binding import computed, let
 from pagesift.functions.css import select_by_steps, selector_steps
 from pagesift.functions.text import is_blank
-from pagesift.functions.urls import abs_url, is_result_href, origin, url_escape, url_slug
+from pagesift.functions.urls import abs_url, is_result_href, url_escape, url_slug
 
 IMAGE_ATTRIBUTES = ["data-src", "src", "data-original", "data-image"]  # fixed values, in order of preference
 
 
+# Characters that URI escaping never leaves in a query text.
+_RESERVED = r":/?#\[\]@!$&'()*+,;="
+
+
+def _heads(url: Column) -> Column:
+    """Every beginning of the URL that ends in a reserved character."""
+    pieces = F.regexp_extract_all(url, F.lit(f"[^{_RESERVED}]*[{_RESERVED}]"), F.lit(0))
+    return let(
+        pieces, lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps)), lambda n: F.array_join(F.slice(ps, 1, n), ""))
+    )
+
+
 def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
     """Which link template and which encoded query each capture URL is.
 
     ``capture_id, link columns, query_key``.  The fan-out of queries over links
     is read backwards from the captured URLs, so no query x link product is
-    ever formed: an equi-join on the origin, with prefix and suffix of the
-    template as a residual, leaves the encoded query in the middle.
+    ever formed.  An encoded query holds no reserved character, so the template
+    up to its last reserved character before ``{0}`` is one of the capture
+    URL's own heads: an equi-join on that, checked against the whole prefix and
+    suffix, leaves the encoded query in the middle.
     """
     at = F.locate("{0}", "search_url")
+    prefix = F.col("search_url").substr(F.lit(1), at - 1)
     templates = links.filter(F.contains("search_url", F.lit("{0}"))).select(
         *links.columns,
-        origin(F.col("search_url")).alias("_origin"),
-        F.col("search_url").substr(F.lit(1), at - 1).alias("_prefix"),
+        F.regexp_extract(prefix, f"^(?s:.*)[{_RESERVED}]", 0).alias("_head"),
+        prefix.alias("_prefix"),
         F.col("search_url").substr(at + 3, F.length("search_url")).alias("_suffix"),
     )
-    pages = captures.select("capture_id", F.col("url").alias("capture_url"), origin(F.col("url")).alias("_at"))
-    fits = (
-        (F.col("_at") == F.col("_origin"))
-        & F.startswith("capture_url", "_prefix")
-        & F.endswith("capture_url", "_suffix")
-        & (F.length("capture_url") >= F.length("_prefix") + F.length("_suffix"))
+    pages = captures.select(
+        "capture_id", F.col("url").alias("capture_url"), F.explode(_heads(F.col("url"))).alias("_head")
     )
     middle = F.col("capture_url").substr(
         F.length("_prefix") + 1, F.length("capture_url") - F.length("_prefix") - F.length("_suffix")
     )
-    return pages.join(templates, fits).select("capture_id", *links.columns, middle.alias("query_key"))
+    fits = (
+        F.startswith("capture_url", "_prefix")
+        & F.endswith("capture_url", "_suffix")
+        & (F.length("capture_url") >= F.length("_prefix") + F.length("_suffix"))
+        & ~middle.rlike(f"[{_RESERVED}]")
+    )
+    found = pages.join(templates, "_head").filter(fits)
+    return found.select("capture_id", *links.columns, middle.alias("query_key"))
 
 
 def search_fanout(queries: DataFrame, links: DataFrame, captures: DataFrame) -> DataFrame:

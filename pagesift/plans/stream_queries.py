@@ -105,7 +105,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(search_candidates(links, render.search_pages(spark, sf_dir)))
 
 
-def _query_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+def _query_stream(spark: SparkSession, sf_dir: str, files: int = 2) -> DataFrame:
     """The part names as a stream of query texts, several files read one by one."""
     path = scratch_path(spark, "queries")
     names = render.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
