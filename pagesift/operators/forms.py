@@ -153,7 +153,7 @@ def search_links(pages: DataFrame, *keys: str, site_url: str = "url") -> DataFra
         "search_url", search_template(F.col(site_url), F.col("best.action"), F.col("best.name"))
     )
     reason = (
-        F.when(F.col("nodes").isNull(), F.lit("no_page"))
+        F.when(F.col("text").isNull(), F.lit("no_page"))
         .when(no_get_form, F.lit("no_get_form"))
         .when(F.size("inputs") == 0, F.lit("no_single_input"))
         .when(F.col("best").isNull(), F.lit("no_named_input"))
