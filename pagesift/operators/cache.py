@@ -83,13 +83,35 @@ def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
         .select("key", "us", "after")
         .join(heads.withColumnRenamed("us", "after"), ["key", "after"], "left_anti")
     )
-    reached, edges = heads, cut(edges)
-    while not edges.isEmpty():
-        step = edges.join(reached, ["key", "us"]).select("key", F.col("after").alias("us"))
-        reached = cut(reached.unionByName(step).distinct())
+    # A run of events has one head and its edges stay inside it, so no start is reached twice.
+    # Edges of round n jump 2^n starts and carry the first 2^n starts to the next 2^n.
+    reached = heads
+    while True:
+        step = cut(edges.join(reached, ["key", "us"]).select("key", F.col("after").alias("us")))
+        if step.isEmpty():
+            return reached
+        reached = reached.unionByName(step)
         second = edges.select("key", F.col("us").alias("after"), F.col("after").alias("second"))
         edges = cut(edges.join(second, ["key", "after"]).select("key", "us", F.col("second").alias("after")))
-    return reached
+
+
+def spaced(starts: DataFrame, lifetime: int) -> DataFrame:
+    """The starts ``(key, us)`` at which a new ``lifetime`` begins, given starts that are already apart.
+
+    For the outputs of ``search_starts``: a key has at most one start per
+    replay lifetime - 8640 in 30 days of five-minute runs, however many events
+    it has - so a key's starts are folded in order as one array of times.
+    """
+    times = starts.groupBy("key").agg(F.sort_array(F.collect_list("us")).alias("times"))
+    none = F.array().cast("array<bigint>")
+    kept = F.aggregate(
+        "times",
+        none,
+        lambda acc, us: F.when(
+            (F.size(acc) == 0) | (us >= F.try_element_at(acc, F.lit(-1)) + lifetime), F.array_append(acc, us)
+        ).otherwise(acc),
+    )
+    return times.select("key", F.explode(kept).alias("us"))
 
 
 def _attach(events: DataFrame, starts: DataFrame, lifetime: int) -> DataFrame:
@@ -163,7 +185,7 @@ def query_outcome(
     starts = runs.select("key", F.col("start_us").alias("us")).distinct()
     if carry is not None:
         starts = starts.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
-    searches = search_starts(starts, store_ttl + search_us).select(
+    searches = spaced(starts, store_ttl + search_us).select(
         "key", F.col("us").alias("start_us"), F.lit(True).alias("_searched")
     )
     outcome = (

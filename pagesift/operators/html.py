@@ -386,6 +386,21 @@ def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array]:
     return text, pa.ListArray.from_arrays(_offsets(sizes), nodes)
 
 
+# Below this many scanned bytes a parse is spread over all cores first.
+SPREAD_BELOW = 256 << 20
+
+
+def _spread_small(source: DataFrame) -> DataFrame:
+    """Spread a small input: its few partitions would parse on a few cores.
+
+    Decided by the bytes scanned.  A large input keeps its partitions, page
+    bodies are not shuffled.
+    """
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return source.repartition(source.sparkSession.sparkContext.defaultParallelism) if scanned < SPREAD_BELOW else source
+
+
 def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
     """Parse the ``html`` column of every row; all other columns pass through.
 
@@ -418,7 +433,7 @@ def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
                     names=[*keep, "text", "nodes", "error"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return _spread_small(source).mapInArrow(run, schema)
 
 
 def elements(pages: DataFrame, *keys: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pagesift.plans.html_queries import nav_links
 from pagesift.plans.registry import LINKS, NAV, query
 from pagesift.sources import rules as rule_source
 from pagesift.sources.rules import Rules
+from pagesift.sources.scratch import cut
 
 RULES = Rules(categories=render.DIRECTORY_CATEGORIES)
 
@@ -51,7 +52,7 @@ def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     groups = render.parts(spark, sf_dir).filter("j = 0").select(F.expr("site div 10").alias("page_ord")).distinct()
     listed = groups.select(render.fmt("https://dir.example.net/{g}", g=F.col("page_ord")).alias("url"), "page_ord")
-    return captures, listed
+    return cut(captures), listed
 
 
 @query(

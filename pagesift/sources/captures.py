@@ -25,7 +25,7 @@ def read_captures(
     """
     raw = spark.read.parquet(path)
     elapsed = F.col(elapsed_ms).cast("bigint") if elapsed_ms else F.lit(None).cast("bigint")
-    return spread_scan(raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms")))
+    return raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms"))
 
 
 def fetch(wanted: DataFrame, captures: DataFrame, url: str = "url") -> DataFrame:

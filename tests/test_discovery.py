@@ -167,7 +167,7 @@ def test_discovered_links_feed_search(spark):
             (3, f"{site}/find?q=asdfghjklqwerty12345", home, 10),
             (4, f"{site}/find?q=sherlock", home + cards_of("sherlock one", "sherlock two"), 20),
             (5, f"{site}/find?q=harry+potter", home + cards_of("harry", "potter"), 33),
-            (6, f"{site}/find?q=Harry%20Potter", home + cards_of("potter%20harry", "harry-potter", "other"), 5),
+            (6, f"{site}/find?q=Harry%20Potter", home + cards_of("potter harry", "harry-potter", "other"), 5),
         ],
         "capture_id bigint, url string, html string, elapsed_ms bigint",
     )
