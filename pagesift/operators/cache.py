@@ -84,15 +84,19 @@ def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
         .join(heads.withColumnRenamed("us", "after"), ["key", "after"], "left_anti")
     )
     # A run of events has one head and its edges stay inside it, so no start is reached twice.
-    # Edges of round n jump 2^n starts and carry the first 2^n starts to the next 2^n.
+    # Edges of round n jump 2^n starts and carry the first 2^n starts to the next 2^n.  Starts
+    # beyond those are ends of such edges, so only edges from an end or a known start are kept;
+    # jumps from neighbouring events soon meet, which thins a dense key out round by round.
     reached = heads
     while True:
         step = cut(edges.join(reached, ["key", "us"]).select("key", F.col("after").alias("us")))
         if step.isEmpty():
             return reached
         reached = reached.unionByName(step)
+        live = edges.select("key", F.col("after").alias("us")).distinct().unionByName(reached)
         second = edges.select("key", F.col("us").alias("after"), F.col("after").alias("second"))
-        edges = cut(edges.join(second, ["key", "after"]).select("key", "us", F.col("second").alias("after")))
+        doubled = edges.join(live, ["key", "us"], "left_semi").join(second, ["key", "after"])
+        edges = cut(doubled.select("key", "us", F.col("second").alias("after")))
 
 
 def spaced(starts: DataFrame, lifetime: int) -> DataFrame:
