@@ -42,7 +42,9 @@ def test_first_by_url_keeps_written_order(spark):
         [(u, t, "c", False, p, c, h, n) for u, t, p, c, h, n in rows],
         "url string, title string, category string, starred boolean, page_ord int, category_ord int, header_id int, node_id int",
     )
-    got = {r.url: r.title for r in directory.first_by_url(made).collect()}
+    first = directory.first_by_url(made)
+    assert "partial_min_by" in first._jdf.queryExecution().executedPlan().toString()
+    got = {r.url: r.title for r in first.collect()}
     assert got == {"u": "first", "v": "only"}
 
 
@@ -172,7 +174,11 @@ def test_discovered_links_feed_search(spark):
         "capture_id bigint, url string, html string, elapsed_ms bigint",
     )
     pages = spark.createDataFrame([("https://dir", 0)], "url string, page_ord bigint")
-    report = discover.discovery_report(captures, pages, RULES).collect()
+    frame = discover.discovery_report(captures, pages, RULES)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert plan.count("MapInArrow") == 1  # the probe pages are parsed once
+    report = frame.collect()
     assert {(r.url, r.reject_stage, r.reject_reason) for r in report} == {
         (site, None, None), ("/rel", "form", "no_capture"),
     }
