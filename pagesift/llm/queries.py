@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import decontaminate, exact_dedup, pieces, secrets, simhash
-from pagesift.llm.common import table
+from pagesift.llm import decontaminate, exact_dedup, language, pieces, secret_scan, simhash, warc
+from pagesift.llm.common import bounded_batches, table
+from pagesift.sources.scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +44,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    held = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    predict = language.predictor(docs, net)
+    bounded_batches(spark)
+    out = held.select("doc_id", "held_out", predict("text").alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@query("op7_warc", warc.ORACLE)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = cut(warc.write_bundles(table(spark, sf_dir, "pages")))
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op9_decontaminate", decontaminate.ORACLE)
