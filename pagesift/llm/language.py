@@ -251,14 +251,23 @@ def learn(
     lang_col: str = "lang",
     key_col: str = "doc_id",
     settings: Settings | None = None,
-) -> Network:
-    """Train on rows whose text and language are known; ``key_col`` only chooses the sample."""
+) -> Network | None:
+    """Train on rows whose text and language are known; ``key_col`` only chooses the sample.
+
+    None if the sample has no window with a letter: there is nothing to learn from.
+    """
     settings = settings or Settings()
-    return train(sorted(sample(labelled, text_col, lang_col, key_col, settings)), settings)
+    found = sample(labelled, text_col, lang_col, key_col, settings)
+    return train(sorted(found), settings) if found else None
+
 
+def predictor(docs: DataFrame, net: Network | None):
+    """A function from a text column to ``struct<lang, score>``.
 
-def predictor(docs: DataFrame, net: Network):
-    """A function from a text column to ``struct<lang, score>``.  Null or letterless texts: ``und`` and 0."""
+    Null or letterless texts: ``und`` and 0; without a network, all texts.
+    """
+    if net is None:
+        return lambda text: F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("struct<lang: string, score: double>")
@@ -275,7 +284,7 @@ def predictor(docs: DataFrame, net: Network):
     return predict
 
 
-def languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score`` (0 to 1).
 
     The whole text is read, whatever its length.  Rows are mapped one by one:
@@ -293,9 +302,14 @@ def held_out(identifier: Column) -> Column:
 
 
 def keep_known_languages(
-    docs: DataFrame, net: Network, least_score: float = 0.0, text_col: str = "text"
+    docs: DataFrame, net: Network | None, least_score: float = 0.0, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a known language with at least ``least_score``, with all columns."""
+    """The rows of ``docs`` whose text has a known language with at least ``least_score``, with all columns.
+
+    Without a network (nothing was labelled) every text with a letter stays.
+    """
+    if net is None:
+        return docs.filter(F.coalesce(column(text_col).rlike(r"\p{L}"), F.lit(False)))
     bounded_batches(docs.sparkSession)
     into = fresh(docs, "language_found")
     found = docs.withColumn(into, predictor(docs, net)(column(text_col)))
