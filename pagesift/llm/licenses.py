@@ -32,7 +32,7 @@ from pagesift.llm.decontaminate import blocks_of, word_places, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-LEAST_JACCARD = 0.2
+LEAST_JACCARD = 0.12
 MISS = 1e-4
 #: Bytes of template text that one task holds; more templates are scanned for in several blocks.
 BLOCK_BYTES = 4 << 20
@@ -79,11 +79,10 @@ def window_words(words: int) -> int:
     return size
 
 
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each five ids in a row; fewer, but some, are one shingle."""
+def shingles(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit value for each ``size`` ids in a row."""
     values = ids.astype(np.uint64) + np.uint64(1)
-    size = min(SHINGLE, len(values))
-    out = np.zeros(max(0, len(values) - size + 1) if size else 0, np.uint64)
+    out = np.zeros(max(0, len(values) - size + 1), np.uint64)
     for k in range(size):
         out = mixed(out ^ values[k : k + len(out)] * np.uint64(0x9E3779B97F4A7C15))
     return out
@@ -97,68 +96,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """Templates, their bands, and the scan of one text."""
+    """Templates and the scan of one text; templates of fewer than five words are one shingle of their own size."""
 
     def __init__(self, templates: list[tuple[str, str]], containment: float = CONTAINMENT) -> None:
-        self.containment = containment
-        self.vocabulary: dict[bytes, int] = {}
-        self.words: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.names: list[str] = []
+        self.names, self.vocabulary = [], {}
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for name, text in sorted(templates):
-            words = words_of(text)
-            if words:
+            if words := words_of(text):
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+                by_size[min(SHINGLE, len(ids))].append((len(self.names), ids))
                 self.names.append(name)
-                self.words.append(len(words))
-                self.sets.append(np.unique(shingles(ids)))
-        bands = bands_for(LEAST_JACCARD)
-        self.seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64))[:, None]
-        self.every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
-        self.bands: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for number, own in enumerate(self.sets):
-            for band, value in enumerate(self.minima(own).tolist()):
-                self.bands[window_words(self.words[number]), band, value].append(number)
-        self.sizes = sorted({window_words(n) for n in self.words})
-        self.short = min([SHINGLE, *self.words])
-
-    def minima(self, values: np.ndarray) -> np.ndarray:
-        return mixed(values[None, :] ^ self.seeds).min(axis=1)
+        self.parts = [Part(size, own, containment) for size, own in sorted(by_size.items())]
 
-    def scan(self, text: str) -> tuple[list[bytes], list[tuple[int, int, int, float]]]:
-        """Words of the text and occurrences: template, first word, last word, containment."""
+    def scan(self, text: str) -> list[tuple[int, int, int, float]]:
+        """Occurrences: template, first word, last word, containment; ascending by first word, then template."""
         words = words_of(text)
-        if len(words) < self.short or not self.sets:
-            return words, []
+        if not self.parts or len(words) < self.parts[0].size:
+            return []
         known = self.vocabulary.get
         ids = np.fromiter((known(w, 0) for w in words), np.int64, len(words))
-        values = self.marked(ids)
-        if not np.isin(values, self.every).any():
-            return words, []
+        concerned = [part for part in self.parts if part.concerns(ids)]
+        if not concerned:
+            return []
         # Words that no template has still tell shingles of the windows apart.
-        fresh = np.flatnonzero(ids == 0)
         own: dict[bytes, int] = {}
-        ids[fresh] = [len(self.vocabulary) + 1 + own.setdefault(words[i], len(own)) for i in fresh.tolist()]
-        values = shingles(ids)
-        retrieved = self.retrieve(values)
-        found = []
-        for number, windows in retrieved.items():
-            found += self.verify(number, values, windows)
-        return words, sorted(found, key=lambda f: (f[1], f[0]))
-
-    def marked(self, ids: np.ndarray) -> np.ndarray:
-        """Shingles of template words only."""
-        values = shingles(ids)
-        size = min(SHINGLE, len(ids))
+        for i in np.flatnonzero(ids == 0).tolist():
+            ids[i] = len(self.vocabulary) + 1 + own.setdefault(words[i], len(own))
+        return sorted((f for part in concerned for f in part.scan(ids)), key=lambda f: (f[1], f[0]))
+
+
+class Part:
+    """Templates of one shingle size with their bands."""
+
+    def __init__(self, size: int, templates: list[tuple[int, np.ndarray]], containment: float) -> None:
+        self.size, self.containment = size, containment
+        self.words = {number: len(ids) for number, ids in templates}
+        self.sets = {number: np.unique(shingles(ids, size)) for number, ids in templates}
+        self.seeds = mixed(np.arange(1, bands_for(LEAST_JACCARD) + 1, dtype=np.uint64))[:, None]
+        self.every = np.unique(np.concatenate(list(self.sets.values())))
+        self.bands: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        for number, own in self.sets.items():
+            for band, value in enumerate(self.minima(own).tolist()):
+                self.bands[window_words(self.words[number]), band, value].append(number)
+        self.windows = sorted({window_words(n) for n in self.words.values()})
+
+    def concerns(self, ids: np.ndarray) -> bool:
+        """Whether a template's shingle occurs; ``ids`` are zero for words that no template has."""
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        return values[unknown[size:] == unknown[: len(unknown) - size]]
+        values = shingles(ids, self.size)
+        return bool(np.isin(values[unknown[self.size :] == unknown[: len(values)]], self.every).any())
+
+    def scan(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
+        values = shingles(ids, self.size)
+        retrieved = self.retrieve(values)
+        return [f for number, windows in retrieved.items() for f in self.verify(number, values, windows)]
+
+    def minima(self, values: np.ndarray) -> np.ndarray:
+        return mixed(values[None, :] ^ self.seeds).min(axis=1)
 
     def retrieve(self, values: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each template the windows (first and past the last shingle) that share a band with it."""
         hits = np.flatnonzero(np.isin(values, self.every))
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size in self.sizes:
-            step, reach = size // 8, size - SHINGLE + 1
+        for size in self.windows:
+            step, reach = size // 8, size - self.size + 1
             starts = {s for h in hits.tolist() for s in range(max(0, -(-(h - reach + 1) // step)), h // step + 1)}
             for start in sorted(starts):
                 first = start * step
@@ -219,7 +220,7 @@ def matcher_udf(spark: SparkSession, templates: DataFrame, containment: float):
             out = []
             for text in batch:
                 text = text.as_py() or ""
-                _, found = matcher.scan(text)
+                found = matcher.scan(text)
                 at = word_places(text) if found else None
                 out.append([
                     {"license_id": matcher.names[n], "start": int(at[a, 0]), "end": int(at[b, 1]), "containment": c}

@@ -207,30 +207,23 @@ def write_bundles(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundler, number = Bundler(frame_bytes), 0
-        task = _task()
+        bundler = Bundler(frame_bytes)
         for batch in batches:
             for page, url, html, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
                 bundler.add(record_id(page), write_record(page, url, payload, refers_to, refers_to is not None))
                 if bundler.size >= bundle_bytes:
-                    yield _row(f"{task}-{number}", *bundler.done())
-                    bundler, number = Bundler(frame_bytes), number + 1
+                    yield _row(*bundler.done())
+                    bundler = Bundler(frame_bytes)
         if bundler.index:
-            yield _row(f"{task}-{number}", *bundler.done())
+            yield _row(*bundler.done())
 
     return roles(narrow, least_bytes).mapInArrow(pack, BUNDLES)
 
 
-def _task() -> str:
-    """The number of the partition: a repeated task writes bundles of the same names."""
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    return f"{context.stageId() if context else 0}-{context.partitionId() if context else 0}"
-
-
-def _row(name: str, bundle: bytes, index: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+def _row(bundle: bytes, index: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+    """A bundle is named after its content: a repeated task gives the same names."""
+    name = hashlib.sha256(bundle).hexdigest()[:32]
     keys = ("record_id", "frame", "offset", "length")
     kind = pa.list_(
         pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
