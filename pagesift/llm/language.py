@@ -25,6 +25,8 @@ from pagesift.llm.common import bounded_batches, column, fresh
 from pagesift.sources.scratch import cut
 
 UNKNOWN = "und"
+#: Parts that a language is dealt into when its smallest hashes are looked for.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -232,8 +234,10 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, sett
     rows = labelled.select(
         column(text_col).alias("text"), column(lang_col).alias("lang"), F.xxhash64(column(key_col).cast("string")).alias("h")
     ).filter("text is not null and lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ranked = rows.select("lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= settings.docs_per_language)
+    ranked = rows.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
+    for keys in (["lang", "salt"], ["lang"]):  # the second sees a number of rows that does not grow with the input
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        ranked = ranked.withColumn("r", rank).filter(F.col("r") <= settings.docs_per_language)
     last = cut(ranked.groupBy("lang").agg(F.max("h").alias("last")))
     chosen = rows.join(last, "lang").filter("h <= last").groupBy("lang", "h").agg(F.min("text").alias("text"))
     n, size = settings.windows_per_doc, settings.window
