@@ -62,7 +62,24 @@ def _below(outer, inner, child: bool) -> Callable[[Column], Column]:
 
     if child:
         return lambda e: inner(e) & F.coalesce(up(e["parent_id"]), F.lit(False))
-    return lambda e: inner(e) & F.exists(e["path"], up)
+    return lambda e: inner(e) & any_ancestor(e, outer)
+
+
+def over_ancestors(e: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold over the ancestors of a node, from its parent up to the root, along ``parent_id``."""
+    nodes = F.col("nodes")
+    up = F.slice(F.sequence(F.lit(0), e["depth"]), F.lit(2), e["depth"])  # as many steps as the node is deep
+
+    def climb(state: Column, _: Column) -> Column:
+        above = F.get(nodes, state["at"])
+        return F.struct(above["parent_id"].alias("at"), step(state["value"], above).alias("value"))
+
+    first = F.struct(e["parent_id"].alias("at"), start.alias("value"))
+    return F.aggregate(up, first, climb, lambda s: s["value"])
+
+
+def any_ancestor(e: Column, test: Callable[[Column], Column]) -> Column:
+    return over_ancestors(e, F.lit(False), lambda found, above: found | F.coalesce(test(above), F.lit(False)))
 
 
 def matcher(css: str) -> Callable[[Column], Column]:
@@ -126,7 +143,7 @@ def select_by_steps(steps: Column) -> Column:
             return (
                 F.when(s["comb"] == ",", F.lit(True))
                 .when(s["comb"] == ">", F.array_contains(acc["now"], e["parent_id"]))
-                .otherwise(F.arrays_overlap(e["path"], acc["now"]))
+                .otherwise(F.exists(acc["now"], lambda i: (i < e["node_id"]) & (F.get(nodes, i)["last_id"] >= e["node_id"])))
             )
 
         found = F.transform(F.filter(nodes, lambda e: fits(e, s) & linked(e)), lambda e: e["node_id"])

@@ -1,7 +1,7 @@
 """Questions inside one page, as array expressions over its ``nodes`` and ``text`` columns.
 
-No function here needs a join or a shuffle: a node's ancestors are looked up by
-position, its descendants are a slice, its text is a slice of the page text.
+No function here needs a join or a shuffle: a node's ancestors are reached along
+``parent_id``, its descendants are a slice, its text is a slice of the page text.
 Node arguments are struct columns, usually lambda variables.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.css import matcher
+from pagesift.functions.css import any_ancestor, matcher, over_ancestors
 
 
 def nodes() -> Column:
@@ -60,14 +60,17 @@ def contains(css: str, root: Column) -> Column:
 def closest(css: str, e: Column) -> Column:
     """The nearest of the node and its ancestors that matches, or null."""
     match = matcher(css)
-    up = F.filter(F.transform(e["path"], node), match)
-    return F.when(match(e), e).otherwise(F.try_element_at(up, F.lit(-1)))
+    nearest = over_ancestors(
+        e,
+        F.lit(None).cast("int"),
+        lambda found, above: F.coalesce(found, F.when(match(above), above["node_id"])),
+    )
+    return F.when(match(e), e).otherwise(node(nearest))
 
 
 def has_closest(css: str, e: Column) -> Column:
     match = matcher(css)
-    found = match(e) | F.exists(e["path"], lambda i: match(node(i)))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(match(e), F.lit(False)) | any_ancestor(e, match)
 
 
 def next_sibling(tag: str, e: Column) -> Column:

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesift.functions.css import over_ancestors
 from pagesift.functions.dom import node
 from pagesift.functions.text import css_escape
 
 _STEP = " > "
 
 
+def _tags_above(e: Column) -> Column:
+    """Tags from below the root down to the parent."""
+    none = F.array().cast("array<string>")
+    tags = over_ancestors(
+        e, none, lambda found, above: F.when(above["depth"] > 0, F.array_append(found, above["tag"])).otherwise(found)
+    )
+    return F.reverse(tags)
+
+
 def tag_path(e: Column) -> Column:
     """Tags from below the root down to the node, joined with `` > ``; null for the root."""
-    below = F.transform(F.slice(e["path"], 2, 1_000_000), lambda i: node(i)["tag"])
-    return F.when(e["depth"] > 0, F.array_join(F.array_append(below, e["tag"]), _STEP))
+    return F.when(e["depth"] > 0, F.array_join(F.array_append(_tags_above(e), e["tag"]), _STEP))
 
 
 def parent_tag_path(e: Column) -> Column:
     """``tag_path`` of the parent; null when that is missing or the root."""
-    below = F.transform(F.slice(e["path"], 2, 1_000_000), lambda i: node(i)["tag"])
-    return F.when(e["depth"] > 1, F.array_join(below, _STEP))
+    return F.when(e["depth"] > 1, F.array_join(_tags_above(e), _STEP))
 
 
 def class_selector(e: Column) -> Column:
@@ -54,7 +62,7 @@ def child_signature(e: Column) -> Column:
 
 def shared_classes(class_lists: Column) -> Column:
     """Classes present in every list of an array of class lists."""
-    return F.aggregate(F.slice(class_lists, 2, 1_000_000), F.get(class_lists, 0), F.array_intersect)
+    return F.aggregate(class_lists, F.get(class_lists, 0), F.array_intersect)
 
 
 def common_selector(parent: Column, first_tag: Column, classes: Column) -> Column:

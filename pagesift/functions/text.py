@@ -74,16 +74,22 @@ def has_any_word(x: Column, words: list[str]) -> Column:
 
 def is_pager_text(text: Column) -> Column:
     """Short text that is a number or a pager word."""
-    return let(
-        trim_ws(text),
-        lambda t: F.length(t).between(1, 25) & (is_int32(t) | F.lower(t).isin(PAGER_WORDS)),
-    )
+    return let(trim_ws(text), lambda t: F.length(t).between(1, 25) & is_pager_label(t))
+
+
+def is_pager_label(label: Column) -> Column:
+    """``is_pager_text`` of a text that is trimmed and short; null is none."""
+    return F.coalesce(is_int32(label) | F.lower(label).isin(PAGER_WORDS), F.lit(False))
 
 
 def complexity(n_children: Column, text: Column) -> Column:
     """5 per child plus a fifth of the trimmed text length, which counts up to 500."""
-    capped = F.least(F.length(trim_ws(text)), F.lit(500))
-    return (n_children * 5 + F.floor(capped / 5)).cast("int")
+    return complexity_of(n_children, F.length(trim_ws(text)))
+
+
+def complexity_of(n_children: Column, trimmed_len: Column) -> Column:
+    """``complexity`` from the length of the trimmed text."""
+    return (n_children * 5 + F.floor(F.least(trimmed_len, F.lit(500)) / 5)).cast("int")
 
 
 def css_escape(x: Column) -> Column:

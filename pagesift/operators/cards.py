@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom, selectors
-from pagesift.functions.text import complexity, is_pager_text
+from pagesift.functions.text import complexity_of, is_pager_label
 from pagesift.functions.urls import fill_template_form
 from pagesift.sources.rules import Rules
 
@@ -39,8 +39,8 @@ def _facts(e: Column) -> Column:
         e["classes"].alias("classes"),
         F.size(e["child_tags"]).alias("n_children"),
         (is_a | ((F.size(e["child_tags"]) > 0) & dom.contains("a", e))).alias("has_anchor"),
-        is_pager_text(dom.text_content(e)).alias("is_pager"),
-        complexity(F.size(e["child_tags"]), dom.text_content(e)).alias("complexity"),
+        is_pager_label(e["label"]).alias("is_pager"),
+        complexity_of(F.size(e["child_tags"]), e["trimmed_len"]).alias("complexity"),
         selectors.parent_selector(dom.node(e["parent_id"])).alias("parent"),
     )
 
@@ -62,10 +62,12 @@ def diff_candidates(probes: DataFrame, *keys: str) -> DataFrame:
     """Elements of the result pages whose (path, selector) the site's no-result page does not have.
 
     A window over the key instead of an anti-join of two branches: the pages
-    are parsed once and shuffled once.  A key's rows come from three pages.
+    are parsed once and shuffled once.  A key's rows come from three pages, so
+    they are dealt out by the key alone; the groups of siblings, pages and keys
+    that are formed next then need no other exchange.
     """
     deep = F.filter(dom.nodes(), lambda e: e["depth"] >= 2)
-    found = probes.select(*keys, "probe_no", F.inline(F.transform(deep, _facts)))
+    found = probes.select(*keys, "probe_no", F.inline(F.transform(deep, _facts))).repartition(*keys)
     same = Window.partitionBy(*keys, "parent_path", "element")
     known = F.max(F.col("probe_no") == 0).over(same)
     return found.withColumn("known", known).filter("not known and probe_no > 0").drop("known")
@@ -154,5 +156,9 @@ def find_card_selectors(probes: DataFrame, *keys: str) -> DataFrame:
 
 
 def mean_response_ms(probes: DataFrame, *keys: str) -> DataFrame:
-    """Integer mean of the three probe times per site."""
-    return probes.groupBy(*keys).agg(F.expr("sum(elapsed_ms) div 3").alias("response_time"))
+    """Integer mean of the three probe times per site; null unless all three are known."""
+    return probes.groupBy(*keys).agg(three_times().alias("response_time"))
+
+
+def three_times() -> Column:
+    return F.when(F.count("elapsed_ms") == 3, F.expr("sum(elapsed_ms) div 3"))

@@ -18,12 +18,17 @@ IMAGE_ATTRIBUTES = ["data-src", "src", "data-original", "data-image"]  # fixed v
 _RESERVED = r":/?#\[\]@!$&'()*+,;="
 
 
-def _heads(url: Column) -> Column:
-    """Every beginning of the URL that ends in a reserved character."""
-    pieces = F.regexp_extract_all(url, F.lit(f"[^{_RESERVED}]*[{_RESERVED}]"), F.lit(0))
-    return let(
-        pieces, lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps)), lambda n: F.array_join(F.slice(ps, 1, n), ""))
+# Scheme, host and the character behind them.
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[/?#]"
+
+
+def _heads(url: Column, least: Column) -> Column:
+    """The beginnings of the URL, of ``least`` characters or more, that end in a reserved character."""
+    reserved = F.lit(_RESERVED.replace("\\", ""))
+    ends = F.transform(
+        F.split(url, ""), lambda c, i: F.when((i + 1 >= least) & (F.instr(reserved, c) > 0), i + 1).otherwise(F.lit(0))
     )
+    return F.transform(F.array_remove(ends, 0), lambda n: F.left(url, n))
 
 
 def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
@@ -35,6 +40,11 @@ def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
     up to its last reserved character before ``{0}`` is one of the capture
     URL's own heads: an equi-join on that, checked against the whole prefix and
     suffix, leaves the encoded query in the middle.
+
+    Heads begin with scheme and host, so captures of different hosts share none
+    and a key holds the pages of one host at most.  A template whose query stands
+    in the host name has a shorter head; heads that short are formed only if such
+    templates exist, and only those that they have.
     """
     at = F.locate("{0}", "search_url")
     prefix = F.col("search_url").substr(F.lit(1), at - 1)
@@ -44,9 +54,16 @@ def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
         prefix.alias("_prefix"),
         F.col("search_url").substr(at + 3, F.length("search_url")).alias("_suffix"),
     )
-    pages = captures.select(
-        "capture_id", F.col("url").alias("capture_url"), F.explode(_heads(F.col("url"))).alias("_head")
-    )
+    templates = templates.withColumn("_in_host", ~F.col("_head").rlike(_AUTHORITY))
+    urls = captures.select("capture_id", F.col("url").alias("capture_url"))
+    authority = F.length(F.regexp_extract("capture_url", _AUTHORITY, 0))
+    pages = urls.select("*", F.explode(_heads(F.col("capture_url"), authority)).alias("_head"))
+    short = templates.filter("_in_host").select("_head").distinct()
+    if not short.isEmpty():
+        heads = F.filter(_heads(F.col("capture_url"), F.lit(1)), lambda h: F.length(h) < authority)
+        early = urls.select("*", F.explode(heads).alias("_head")).join(short, "_head", "left_semi")
+        pages = pages.unionByName(early)
+    templates = templates.drop("_in_host")
     middle = F.col("capture_url").substr(
         F.length("_prefix") + 1, F.length("capture_url") - F.length("_prefix") - F.length("_suffix")
     )

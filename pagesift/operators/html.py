@@ -14,15 +14,18 @@ Node ids are pre-order ranks, so the descendants of a node are the array slice
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.sources.captures import spread
+
 NODE_DDL = (
     "struct<node_id:int,parent_id:int,last_id:int,depth:int,sib_ord:int,tag:string,id:string,"
-    "classes:array<string>,attrs:map<string,string>,path:array<int>,text_start:int,text_len:int,"
+    "classes:array<string>,attrs:map<string,string>,text_start:int,text_len:int,trimmed_len:int,label:string,"
     "child_tags:array<string>>"
 )
 
@@ -38,9 +41,10 @@ _NODE = pa.struct(
         ("id", pa.string()),
         ("classes", _STRINGS),
         ("attrs", pa.map_(pa.string(), pa.string())),
-        ("path", pa.list_(pa.int32())),
         ("text_start", pa.int32()),
         ("text_len", pa.int32()),
+        ("trimmed_len", pa.int32()),
+        ("label", pa.string()),
         ("child_tags", _STRINGS),
     ]
 )
@@ -90,6 +94,18 @@ _SPECIAL = (
 _STOPS_LI = _SPECIAL - {"address", "div", "p"}
 
 
+#: Elements nested deeper than this, as by endlessly unclosed tags, make the page an error; browsers stop there too.
+MAX_DEPTH = 512
+#: Trimmed text of a node up to this length is kept with it as ``label``.
+LABEL_CHARS = 25
+#: Everything but Unicode white space.
+_INK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+class TooDeep(Exception):
+    """The page nests more than ``MAX_DEPTH`` elements."""
+
+
 class _Tree:
     """Builds the flat node columns of one page from its tokens."""
 
@@ -98,7 +114,7 @@ class _Tree:
         self.last: list[int] = []
         self.tag: list[str] = []
         self.attrs: list[dict[str, str]] = []
-        self.path: list[list[int]] = []
+        self.depth: list[int] = []
         self.sib: list[int] = []
         self.start: list[int] = []
         self.length: list[int] = []
@@ -111,12 +127,14 @@ class _Tree:
         self._open("head", {})
 
     def _open(self, tag: str, attrs: dict[str, str]) -> int:
+        if len(self.stack) > MAX_DEPTH:
+            raise TooDeep
         node = len(self.tag)
         up = self.stack[-1] if self.stack else -1
         self.parent.append(up)
         self.tag.append(tag)
         self.attrs.append(attrs)
-        self.path.append(list(self.stack))
+        self.depth.append(len(self.stack))
         self.start.append(self.pos)
         self.last.append(node)
         self.length.append(0)
@@ -283,6 +301,21 @@ class _Tree:
         if self.body < 0:
             self._enter_body({})
         self._pop_through(0)
+        self.full = "".join(self.chunks)
+        self._trim()
+
+    def _trim(self) -> None:
+        """Trimmed length of each node's text, and the text itself where it is short."""
+        runs = [m.span() for m in _INK.finditer(self.full)]
+        starts, ends = [a for a, _ in runs], [b for _, b in runs]
+        self.trimmed: list[int] = []
+        self.label: list[str | None] = []
+        for at, size in zip(self.start, self.length, strict=True):
+            i = bisect_right(ends, at)  # first run that ends behind the node's start
+            j = bisect_left(starts, at + size) - 1  # last run that starts before its end
+            first, last = (max(at, starts[i]), min(at + size, ends[j])) if i <= j else (at, at)
+            self.trimmed.append(last - first)
+            self.label.append(self.full[first:last] if 0 < last - first <= LABEL_CHARS else None)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -357,7 +390,6 @@ def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array]:
 
     attrs = flat("attrs")
     classes = [list(dict.fromkeys((a.get("class") or "").split())) for a in attrs]
-    path = flat("path")
     maps = pa.MapArray.from_arrays(
         _offsets(attrs),
         pa.array([k for a in attrs for k in a], pa.string()),
@@ -368,37 +400,36 @@ def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array]:
             pa.array([i for t in live for i in range(len(t.tag))], pa.int32()),
             pa.array(flat("parent"), pa.int32()),
             pa.array(flat("last"), pa.int32()),
-            pa.array([len(p) for p in path], pa.int32()),
+            pa.array(flat("depth"), pa.int32()),
             pa.array(flat("sib"), pa.int32()),
             pa.array(flat("tag"), pa.string()),
             pa.array([a.get("id") for a in attrs], pa.string()),
             _list_of(classes, pa.string()),
             maps,
-            _list_of(path, pa.int32()),
             pa.array(flat("start"), pa.int32()),
             pa.array(flat("length"), pa.int32()),
+            pa.array(flat("trimmed"), pa.int32()),
+            pa.array(flat("label"), pa.string()),
             _list_of(flat("children"), pa.string()),
         ],
         fields=list(_NODE),
     )
     sizes = [[] if t is None else t.tag for t in trees]
-    text = pa.array([None if t is None else "".join(t.chunks) for t in trees], pa.string())
+    text = pa.array([None if t is None else t.full for t in trees], pa.string())
     return text, pa.ListArray.from_arrays(_offsets(sizes), nodes)
 
 
-# Below this many scanned bytes a parse is spread over all cores first.
-SPREAD_BELOW = 256 << 20
-
-
-def _spread_small(source: DataFrame) -> DataFrame:
-    """Spread a small input: its few partitions would parse on a few cores.
-
-    Decided by the bytes scanned.  A large input keeps its partitions, page
-    bodies are not shuffled.
-    """
-    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
-    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return source.repartition(source.sparkSession.sparkContext.defaultParallelism) if scanned < SPREAD_BELOW else source
+def _built(trees: list[_Tree | None], errors: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    """``_to_arrow``; when a batch can't be built, the pages that can't be built alone become errors."""
+    try:
+        return _to_arrow(trees)
+    except Exception:
+        for i, tree in enumerate(trees):
+            try:
+                _to_arrow([tree])
+            except Exception as exc:
+                trees[i], errors[i] = None, type(exc).__name__
+        return _to_arrow(trees)
 
 
 def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
@@ -426,14 +457,14 @@ def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
                     except Exception as exc:  # a bad page is data, not a job failure
                         trees.append(None)
                         errors.append(type(exc).__name__)
-                text, nodes = _to_arrow(trees)
+                text, nodes = _built(trees, errors)
                 columns = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, text, nodes, pa.array(errors, pa.string())],
                     names=[*keep, "text", "nodes", "error"],
                 )
 
-    return _spread_small(source).mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def elements(pages: DataFrame, *keys: str) -> DataFrame:

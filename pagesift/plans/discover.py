@@ -43,7 +43,7 @@ def discovery_report(captures: DataFrame, pages: DataFrame, rules: Rules) -> Dat
     )
     timed = fetch(wanted, captures.select(F.col("url"), "elapsed_ms"), "probe_url")
     times = timed.groupBy("url").agg(
-        F.count("*").alias("n_captured"), F.expr("sum(elapsed_ms) div 3").alias("response_time")
+        F.count("*").alias("n_captured"), cards.three_times().alias("response_time")
     )
     probes = parse_pages(fetch(wanted, captures.select(F.col("url"), "html"), "probe_url"))
     selectors = cards.find_card_selectors(probes, "url").withColumnRenamed("reject_reason", "card_reason")

@@ -39,8 +39,8 @@ LINKS = """l as (
          'https://s' || site || '.example.com' as url,
          ['Books', 'Movies', 'Games Download', 'Abandonware/ROM'][site % 4 + 1] as category,
          site % 3 = 0 as starred, 'https://s' || site || '.example.com/find?q={0}' as search_url,
-         'div#results > .card' as selector, site * 37 % 500 as response_time
-  from (select p_partkey // 20 as site from part where p_partkey % 20 = 0))"""
+         'div#results > .card' as selector, case when site % 13 <> 5 then site * 37 % 500 end as response_time
+  from (select distinct p_partkey // 20 as site from part))"""
 
 
 def title_case(x: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.urls import fill_template_form, fill_template_uri
 from pagesift.functions.text import normalise_string
-from pagesift.sources.captures import spread_scan
+from pagesift.sources.captures import spread
 from pagesift.sources.links import link_id
 from pagesift.sources.rules import NONSENSE_QUERY, PROBE_QUERIES
 
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def fmt(template: str, **values: Column) -> Column:
@@ -55,16 +55,20 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, first_name): every site that has a part, and the name of its first one."""
+    return parts(spark, sf_dir).groupBy("site").agg(F.min_by("p_name", "j").alias("first_name"))
+
+
 def site_url(site: Column) -> Column:
     return fmt("https://s{s}.example.com", s=site)
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored link per site; the site's query is the name of its first part."""
+    """One stored link per site; some sites have no known response time."""
     site = F.col("site")
-    first = parts(spark, sf_dir).filter("j = 0")
     names = F.array(*[F.lit(c) for c in CATEGORY_NAMES])
-    return first.select(
+    return sites(spark, sf_dir).select(
         link_id(site_url(site)).alias("id"),
         fmt("Site {s}", s=site).alias("title"),
         site_url(site).alias("url"),
@@ -72,7 +76,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("site") % 3 == 0).alias("starred"),
         F.concat(site_url(site), F.lit("/find?q={0}")).alias("search_url"),
         F.lit(SELECTOR).alias("selector"),
-        (site * 37 % 500).alias("response_time"),
+        F.when(site % 13 != 5, site * 37 % 500).alias("response_time"),
     )
 
 
@@ -243,8 +247,7 @@ def site_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """captures: home pages of the sites, the variant by ``site % 12``."""
     site = F.col("site")
     return (
-        parts(spark, sf_dir)
-        .filter("j = 0")
+        sites(spark, sf_dir)
         .select(
             (site + 2_000_000_000).alias("capture_id"),
             site_url(site).alias("url"),
@@ -281,8 +284,7 @@ def probe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hits = cards.select("site", "probe_no", fmt(HEAD + "{b}" + FOOT, b=body).alias("html"))
     none = (
-        parts(spark, sf_dir)
-        .filter("j = 0")
+        sites(spark, sf_dir)
         .select("site", F.lit(0).alias("probe_no"), F.lit(HEAD + "<p class='none'>nothing found</p>" + FOOT).alias("html"))
     )
     both = hits.unionByName(none)

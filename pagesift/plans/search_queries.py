@@ -17,7 +17,7 @@ from pagesift.sources.scratch import cut
 
 # Usable cards: kind 3 shares its link with another card, kind 4 is an anchor itself.
 _CARDS = rf"""{PARTS},
-    first as (select site, p_name as first_name from p where j = 0),
+    first as (select site, first(p_name order by j) as first_name from p group by site),
     cards as (
       select site, j::int as card_ord, kind = 4 as is_anchor_card,
         case kind when 4 then '/a/' || p_partkey else '/p/' || replace(p_name, ' ', '-') || '-' || p_partkey end as href,
@@ -103,8 +103,8 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "search_fanout",
-    f"""with {PARTS}, {LINKS} select p.site as capture_id, l.search_url, {normal('p_name')} as query
-        from p join l using (site) where j = 0""",
+    f"""with {PARTS}, {LINKS} select p.site as capture_id, l.search_url, {normal('first_name')} as query
+        from (select site, first(p_name order by j) as first_name from p group by site) p join l using (site)""",
 )
 def search_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = extract.search_fanout(
@@ -176,7 +176,7 @@ def image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- scores ----------------------------------------------------------------------
 
-_PAIRS = f"""{PARTS}, first as (select site, p_name as first_name from p where j = 0),
+_PAIRS = f"""{PARTS}, first as (select site, first(p_name order by j) as first_name from p group by site),
     pairs as (select p_partkey, {normal('first_name')} as q,
       {normal("case p_partkey % 3 when 0 then p_name when 1 then p_type || ' ' || p_name || '!' else p_name || ', ' || p_brand || ' (' || p_type || ') ' || p_name end")} as t
       from p join first using (site))"""
@@ -185,7 +185,7 @@ _PAIRS = f"""{PARTS}, first as (select site, p_name as first_name from p where j
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A (query, title) pair per part, from a bare name to a text five times as long."""
     parts = render.parts(spark, sf_dir)
-    first = parts.filter("j = 0").select("site", F.col("p_name").alias("first_name"))
+    first = render.sites(spark, sf_dir)
     kind = F.col("p_partkey") % 3
     title = (
         F.when(kind == 0, F.col("p_name"))
@@ -230,7 +230,7 @@ _SCORED = rf"""{_CARDS}, {LINKS},
 
 @query("title_or_slug", f"with {_SCORED} select site, card_ord, title, score from scored")
 def title_or_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = render.parts(spark, sf_dir).filter("j = 0").select("site", normalise_string(F.col("p_name")).alias("query"))
+    first = render.sites(spark, sf_dir).select("site", normalise_string(F.col("first_name")).alias("query"))
     scored = ranking.title_or_slug(_candidates(spark, sf_dir).join(first, "site"))
     return scored.select("site", "card_ord", "title", "score")
 
@@ -251,7 +251,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dispatch_order",
-    f"with {LINKS} select id, url, response_time, row_number() over (order by response_time, id) - 1 as link_ord from l",
+    f"with {LINKS} select id, url, response_time, row_number() over (order by response_time nulls last, id) - 1 as link_ord from l",
 )
 def dispatch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.dispatch_order(render.links(spark, sf_dir)).select("id", "url", "response_time", "link_ord")
@@ -274,7 +274,7 @@ def rank_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_results(scored)
 
 
-RANKED = f"""{_SCORED}, ordered as (select id, row_number() over (order by response_time, id) as link_ord, site from l),
+RANKED = f"""{_SCORED}, ordered as (select id, row_number() over (order by response_time nulls last, id) as link_ord, site from l),
     ranked as (select results.*, row_number() over (partition by query order by score desc, link_ord, card_ord) as rank
       from results join ordered using (site))"""
 

@@ -35,14 +35,14 @@ def _site() -> F.Column:
 
 @query(
     "captures_scan",
-    f"""with {PARTS} select 'https://s' || site || '.example.com/find?q=' || url_encode({normal('p_name')}) as url,
-        site as capture_id, site % 50 as elapsed_ms from p where j = 0""",
+    f"""with {PARTS} select 'https://s' || site || '.example.com/find?q=' || url_encode({normal('first(p_name order by j)')}) as url,
+        site as capture_id, site % 50 as elapsed_ms from p group by site""",
 )
 def captures_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch every link's page for its own query; what was not captured gives no row."""
-    first = render.parts(spark, sf_dir).filter("j = 0")
+    first = render.sites(spark, sf_dir)
     template = F.concat(render.site_url(F.col("site")), F.lit("/find?q={0}"))
-    wanted = first.select(fill_template_uri(template, normalise_string(F.col("p_name"))).alias("url"))
+    wanted = first.select(fill_template_uri(template, normalise_string(F.col("first_name"))).alias("url"))
     missing = first.select(F.concat(render.site_url(F.col("site")), F.lit("/nowhere")).alias("url"))
     captures = render.search_pages(spark, sf_dir)
     return fetch(wanted.unionByName(missing), captures).select("url", "capture_id", "elapsed_ms")

@@ -11,7 +11,7 @@ from pagesift.plans import render
 from pagesift.plans.registry import normal, query
 from pagesift.plans.search import search_candidates, search_from_candidates
 from pagesift.plans.search_queries import _COLUMNS, RANKED
-from pagesift.sources.captures import spread_scan
+from pagesift.sources.captures import spread
 from pagesift.sources.results import ResultStore, live
 from pagesift.sources.scratch import cut, scratch_path
 from pagesift.streaming.cache_stream import stream_outcomes
@@ -46,7 +46,7 @@ def _keyed(events: DataFrame) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spread_scan(render.table(spark, sf_dir, "events").select("event_id", "event_type", "props", "ts")))
+    return _keyed(spread(render.table(spark, sf_dir, "events").select("event_id", "event_type", "props", "ts")))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A plain table scan, spread over the cores when it has fewer splits than that.
+#: Session setting: deal rows out to so many tasks before CPU-heavy work, whatever their number.
+SPREAD = "spark.pagesift.spreadPartitions"
 
-    For CPU-heavy work on small files.  A large table has more splits than
-    cores and is never shuffled here.
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are, or dealt out anew when the session's ``SPREAD`` says to how many tasks.
+
+    Only whoever starts the job knows whether its files make enough splits; the
+    plan depends on the setting, never on the data.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = rows.sparkSession.conf.get(SPREAD, None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def read_captures(

@@ -190,3 +190,34 @@ def test_discovered_links_feed_search(spark):
     # The slug "harry potter" equals the query, so it replaces the title "harry-potter".
     assert [(r.title, r.rank) for r in results] == [("Harry Potter", 1), ("Potter Harry", 2), ("Other", 3)]
     assert [r.score for r in results][:2] == [101, 95]
+
+
+def test_mean_time_needs_all_three(spark):
+    data = [(1, 10), (1, 20), (1, None), (2, 10), (2, 20), (2, 31), (3, 5)]
+    times = spark.createDataFrame(data, "site int, elapsed_ms bigint")
+    assert {r.site: r.response_time for r in cards.mean_response_ms(times, "site").collect()} == {1: None, 2: 20, 3: None}
+
+
+def test_card_discovery_has_one_exchange_and_is_linear(spark):
+    import time
+
+    from pagesift.operators.html import parse_pages
+
+    def probes(n):
+        body = "".join(f"<div class='card x{i % 3}'><a href='/{i}'>t {i}</a><p>some words</p></div>" for i in range(n))
+        page = f"<main><div id=r>{body}</div></main>"
+        rows = [(1, 0, "<p>none"), (1, 1, page), (1, 2, page)]
+        return parse_pages(spark.createDataFrame(rows, "site int, probe_no int, html string"))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cards.find_card_selectors(probes(2), "site")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1, plan
+    took = {}
+    for n in (200, 2000, 8000):
+        start = time.perf_counter()
+        assert cards.diff_candidates(probes(n), "site").count() == 2 * (3 * n + 2)
+        took[n] = time.perf_counter() - start
+    assert took[8000] < 8 * took[2000]

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,10 +49,19 @@ def outline(html):
 def test_tree(html, want):
     if "<script" in html:
         t = build_tree(html)
-        assert t.tag[2] == "script" and t.path[2] == [0, 1]
+        assert t.tag[2] == "script" and above(t, 2) == [0, 1]
     assert outline(html) == want
 
 
+def above(tree, i):
+    """Ids from the root down to the parent."""
+    found = []
+    while tree.parent[i] >= 0:
+        i = tree.parent[i]
+        found.insert(0, i)
+    return found
+
+
 def test_attributes():
     t = build_tree("""<a HREF='?a=1&copy=2&amp;c' href=x data-x = "1 2" checked class="b a b">""")
     assert t.attrs[-1] == {"href": "?a=1&copy=2&c", "data-x": "1 2", "checked": "", "class": "b a b"}
@@ -58,7 +69,7 @@ def test_attributes():
 
 def test_head_and_body_are_implied():
     t = build_tree("<title>a</title><meta charset=x> <p>b")
-    assert [(t.tag[i], t.path[i]) for i in range(len(t.tag))] == [
+    assert [(t.tag[i], above(t, i)) for i in range(len(t.tag))] == [
         ("html", []), ("head", [0]), ("title", [0, 1]), ("meta", [0, 1]), ("body", [0]), ("p", [0, 4]),
     ]
 
@@ -78,7 +89,9 @@ def test_tree_invariants(html):
     assert t.last[0] == n - 1 and t.start[0] == 0 and t.length[0] == size
     for i in range(1, n):
         up = t.parent[i]
-        assert t.path[i] == t.path[up] + [up]
+        assert t.depth[i] == t.depth[up] + 1 == len(above(t, i))
+        trimmed = t.full[t.start[i] : t.start[i] + t.length[i]].strip()
+        assert t.trimmed[i] == len(trimmed) and t.label[i] == (trimmed if 0 < len(trimmed) <= 25 else None)
         assert up < i <= t.last[i] <= t.last[up]
         assert t.start[up] <= t.start[i] and t.start[i] + t.length[i] <= t.start[up] + t.length[up]
         assert t.children[up][t.sib[i]] == t.tag[i]
@@ -90,6 +103,29 @@ def test_bad_pages_are_rows(pages):
     assert rows[0].n == 4 and rows[2].n == 3
 
 
+def test_endless_nesting_is_an_error_of_the_page(pages):
+    deep = pages("<b>" * 100_000, "<p>fine", "<i>" * 400 + "x").select("site", "error", F.size("nodes").alias("n")).orderBy("site")
+    assert [tuple(r) for r in deep.collect()] == [(0, "TooDeep", 0), (1, None, 4), (2, None, 403)]
+
+
+def test_plan_does_not_depend_on_the_size_of_the_input(spark, tmp_path):
+    from pagesift.operators.html import parse_pages
+    from pagesift.sources.captures import SPREAD
+
+    def shape(n):
+        path = str(tmp_path / str(n))
+        spark.range(n).select(F.col("id").alias("site"), F.lit("<p>x").alias("html")).write.parquet(path)
+        plan = parse_pages(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+        return [re.findall("[A-Za-z]+", line)[:1] for line in plan.splitlines()]
+
+    assert shape(1) == shape(200_000) and not any(["Exchange"] == line for line in shape(10))
+    spark.conf.set(SPREAD, "3")
+    try:
+        assert shape(2) == shape(100_000) and any(["Exchange"] == line for line in shape(11))
+    finally:
+        spark.conf.unset(SPREAD)
+
+
 def test_element_rows(pages):
     rows = elements(pages("<p id=x class='b a b' lang=en>hi</p>"), "site").filter("tag = 'p'").collect()
     assert len(rows) == 1

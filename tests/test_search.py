@@ -141,3 +141,32 @@ def test_unwanted_pages_are_never_parsed(spark):
     )
     rows = search(spark.createDataFrame([("B",)], "query string"), link, captures).collect()
     assert [(r.query, r.title, r.score, r.website_title, r.website_starred) for r in rows] == [("B", "B", 101, "A", True)]
+
+
+def test_unknown_times_and_queries_lose_no_row(spark):
+    data = [("b", None), ("a", None), ("c", 30), ("d", 10), ("e", 10), ("f", 5000), ("g", 101)]
+    links = spark.createDataFrame(data, "id string, response_time bigint")
+    got = {r.id: r.link_ord for r in ranking.dispatch_order(links).collect()}
+    assert got == {"d": 0, "e": 1, "c": 2, "g": 3, "f": 4, "a": 5, "b": 6}
+    rows = [("q", 5, None, 0), ("q", 5, 1, 0), ("q", None, 1, 1), (None, 7, 2, 0), (None, 9, None, None), ("q", 9, 3, 0)]
+    results = spark.createDataFrame(rows, "query string, score int, link_ord bigint, card_ord int")
+    ranked = {(r["query"], r.score, r.link_ord): r["rank"] for r in ranking.rank_results(results).collect()}
+    assert ranked == {("q", 9, 3): 1, ("q", 5, None): 2, ("q", 5, 1): 3, ("q", None, 1): 4, (None, 9, None): 1, (None, 7, 2): 2}
+
+
+def test_captures_of_different_hosts_share_no_head(spark):
+    urls = ["https://a.org/find?q=x", "https://a.org/find?p=1&q=y", "https://b.org/find?q=x", "http://c.org?q=1", "odd", "https://x.b.org/"]
+    heads = spark.createDataFrame([(u,) for u in urls], "u string").select(
+        "u", F.explode(extract._heads(F.col("u"), F.length(F.regexp_extract("u", extract._AUTHORITY, 0)))).alias("h")
+    )
+    hosts = {}
+    for r in heads.collect():
+        hosts.setdefault(r.h, set()).add(r.u.split("/")[2].split("?")[0])
+    assert hosts and all(len(h) == 1 for h in hosts.values())
+
+
+def test_query_in_the_host_name(spark):
+    links = spark.createDataFrame([("https://{0}.example.com/", 1), ("https://b.org/?q={0}", 2)], "search_url string, link_ord int")
+    captures = spark.createDataFrame([(1, "https://some.example.com/"), (2, "https://b.org/?q=some")], "capture_id int, url string")
+    got = extract.template_captures(captures, links).select("capture_id", "link_ord", "query_key").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "some"), (2, 2, "some")]
