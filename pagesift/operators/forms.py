@@ -14,11 +14,9 @@ from pagesift.functions.binding import computed, let
 from pagesift.functions.text import is_blank, lower_chars
 from pagesift.functions.urls import search_template
 
-# Words that mark a form as something else, search icons, scored attributes.
-OTHER_FORM = (
-    r"(?iu)login|log in|sign ?in|username|password|register|sign ?up|subscribe|newsletter|contact|comment|forgot"
-    r"|e-mail|email"
-)
+# Words that mark a form as something else, search icons, scored attributes; further below, the points and
+# reason labels of the signals and of the bonus.
+OTHER_FORM = r"(?iu)login|log in|sign ?in|username|password|register|sign ?up|subscribe|newsletter|contact|comment|forgot|e-mail|email"
 SEARCH_ICON = r"(?i)search|magnify|loupe"
 SEARCH_ATTRIBUTES = ["id", "name", "aria-label", "data-testid"]
 SEARCH_NAMES = ["q", "s", "query"]

@@ -164,6 +164,21 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EARLY = "2024-01-01 00:00:00"
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> result_source.ResultStore:
+    """A store that holds all rows of ``_stored``; the rank is the part's key."""
+    store = result_source.ResultStore(spark, scratch_path(spark, "results"))
+    rows = cut(_stored(spark, sf_dir).withColumn("rank", F.col("p_partkey")))
+    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), EARLY, "a")
+    return store
+
+
+def _rows(stored: DataFrame) -> DataFrame:
+    return stored.select("query", F.col("rank").alias("p_partkey"), *RESULT_COLUMNS, "created_at")
+
+
 def _stamp() -> F.Column:
     return F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")
 
@@ -179,7 +194,7 @@ _SQL_STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at"
 def results_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = render.table(spark, sf_dir, "part").filter("p_size % 9 = 4")
     asked = part.select(normalise_string(F.col("p_name")).alias("query")).distinct()
-    return result_source.stored_results(asked, _stored(spark, sf_dir)).drop("created_at")
+    return _rows(_filled(spark, sf_dir).get(asked, EARLY)).drop("created_at")
 
 
 @query(
@@ -189,12 +204,9 @@ def results_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def results_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored twice under other titles and batches: the first write of a query stays."""
-    store = result_source.ResultStore(spark, scratch_path(spark, "results"))
-    rows = cut(_stored(spark, sf_dir).withColumn("rank", F.col("p_partkey")))
-    queries = cut(rows.select("query", "created_at").distinct())
-    early = "2024-01-01 00:00:00"
-    store.put(queries, rows.drop("created_at"), early, "a")
-    store.put(queries, rows.withColumn("title", F.lit("again")).drop("created_at"), early, "b")
+    store = _filled(spark, sf_dir)
+    rows = cut(_stored(spark, sf_dir).withColumn("rank", F.col("p_partkey")).withColumn("title", F.lit("again")))
+    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), EARLY, "b")
     kept = store.rows.read().groupBy("query").agg(F.min("title").alias("first_title"))
     return store.headers.read().join(kept, "query").select("query", _stamp(), "n_results", "first_title")
 
@@ -204,9 +216,9 @@ def results_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {_STORED} select query, p_partkey, {_COLUMNS} from stored where length(query) % 3 <> 0",
 )
 def results_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _stored(spark, sf_dir)
-    gone = stored.filter("length(query) % 3 = 0").select("query").distinct()
-    return result_source.remove_results(stored, gone).drop("created_at")
+    store = _filled(spark, sf_dir)
+    store.remove(_stored(spark, sf_dir).filter("length(query) % 3 = 0").select("query"))
+    return _rows(store.rows.read()).drop("created_at")
 
 
 @query(
@@ -215,7 +227,11 @@ def results_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
         where created_at > timestamp '{AS_OF}' - interval 7 day""",
 )
 def results_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return result_source.live(_stored(spark, sf_dir), AS_OF).select("query", "p_partkey", _stamp())
+    """Expired days are deleted, and of the day in between only live rows are served."""
+    store = _filled(spark, sf_dir)
+    store.expire(AS_OF)
+    asked = _stored(spark, sf_dir).select("query").distinct()
+    return _rows(store.get(asked, AS_OF)).select("query", "p_partkey", _stamp())
 
 
 @query(

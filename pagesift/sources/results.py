@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.operators.ranking import RESULT_COLUMNS
+from pagesift.sources.scratch import cut
 from pagesift.sources.tables import VersionedTable
 
 RESULT_DDL = (
@@ -88,8 +89,17 @@ class ResultStore:
         self.headers.append(headers.select("query", "created_at", "n_results", *named))
 
     def remove(self, queries: DataFrame) -> None:
-        self.headers.rewrite(remove_results(self.headers.read(), queries))
-        self.rows.rewrite(remove_results(self.rows.read(), queries))
+        """Headers tell which partitions hold the queries; only those are written anew."""
+        touched = cut(stored_results(queries.select("query").distinct(), self.headers.read()).select("created_day", "batch"))
+        for table in (self.headers, self.rows):
+            table.rewrite_partitions(touched, lambda rows: remove_results(rows, queries))
+
+    def expire(self, as_of: str, ttl: str = RESULT_TTL) -> None:
+        """Delete the days that ended before the lifetime of anything live at ``as_of`` began."""
+        first = F.date_format(F.to_date(F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {ttl}")), "yyyy-MM-dd")
+        day = self.headers.spark.range(1).select(first.alias("day")).first()["day"]
+        for table in (self.headers, self.rows):
+            table.drop_partitions(lambda names: names[0] < day)
 
     def remove_all(self) -> None:
         for table in (self.headers, self.rows):

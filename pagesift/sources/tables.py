@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagesift.sources.scratch import cut
 
 
 class VersionedTable:
@@ -18,13 +24,18 @@ class VersionedTable:
         self.schema = schema
         self.partition_by = partition_by or []
 
+    def _glob(self, pattern: str) -> list:
+        """Hadoop paths below the table's folder, and the file system they are in."""
+        root = self._path(self.path)
+        self._fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath() for s in self._fs.globStatus(self._path(f"{self.path}/{pattern}")) or []]
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
     def _version(self) -> int:
         """Highest committed version, 0 when there is none."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(self.path + "/v=*/_SUCCESS")) or []
-        return max((int(s.getPath().getParent().getName()[2:]) for s in found), default=0)
+        return max((int(p.getParent().getName()[2:]) for p in self._glob("v=*/_SUCCESS")), default=0)
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/v={version}"
@@ -43,7 +54,11 @@ class VersionedTable:
         """
         if not self._version():
             self.rewrite(self.spark.createDataFrame([], self.schema))
-        out = self._ordered(rows).write.partitionBy(*self.partition_by)
+        rows = self._ordered(rows)
+        if self.partition_by:
+            # One partition's rows meet in few tasks, so few files; a large partition is split again.
+            rows = rows.hint("rebalance", *self.partition_by)
+        out = rows.write.partitionBy(*self.partition_by)
         folder = self._folder(self._version())
         if self.partition_by:
             out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
@@ -55,3 +70,37 @@ class VersionedTable:
 
     def rewrite(self, rows: DataFrame) -> None:
         self._ordered(rows).write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder(self._version() + 1))
+
+    def partitions(self) -> dict[tuple[str, ...], object]:
+        """Values of the partition columns, as text, and the folder of each partition."""
+        found = {}
+        for folder in self._glob("/".join([f"v={self._version()}", *[f"{c}=*" for c in self.partition_by]])):
+            names, at = [], folder
+            for _ in self.partition_by:
+                names.insert(0, unquote(at.getName().split("=", 1)[1]))
+                at = at.getParent()
+            found[tuple(names)] = folder
+        return found
+
+    def drop_partitions(self, gone: Callable[[tuple[str, ...]], bool]) -> None:
+        """Delete the folders of the partitions whose values satisfy ``gone``; no row is read."""
+        for names, folder in self.partitions().items():
+            if gone(names):
+                self._fs.delete(folder, True)
+
+    def rewrite_partitions(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the partitions named in ``touched`` (the partition columns) by ``change`` of their rows.
+
+        The names, one short row per partition, pass through the driver; rows of
+        other partitions are neither read nor written.
+        """
+        names = touched.select(*self.partition_by).distinct()
+        listed = {tuple(map(str, r)) for r in names.collect()}
+        if not listed:
+            return
+        first = self.partition_by[0]
+        pruned = self.read().filter(F.col(first).cast("string").isin(sorted({n[0] for n in listed})))
+        kept = cut(change(pruned.join(names, self.partition_by, "left_semi")))
+        self.append(kept)
+        left = {tuple(map(str, r)) for r in kept.select(*self.partition_by).distinct().collect()}
+        self.drop_partitions(lambda p: p in listed - left)

@@ -90,6 +90,30 @@ def test_results_are_written_once_while_they_live(spark, tmp_path):
     assert titles("2024-01-08 12:00:02") == {}
 
 
+def test_upkeep_touches_only_what_it_must(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "results"))
+    schema = "query string, rank bigint, " + RESULT_DDL
+    for day, names in (("01", "ab"), ("02", "cd"), ("05", "ae")):
+        at = f"2024-01-{day} 12:00:00"
+        searched = spark.createDataFrame([(q,) for q in names], "query string").withColumn("created_at", F.lit(at).cast("timestamp"))
+        store.put(searched, spark.createDataFrame([result(q, 1, day) for q in names], schema), at, f"b {day}/x")
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "results").rglob("part-*")}
+
+    before = files()
+    store.remove(spark.createDataFrame([("a",), ("b",), ("zz",)], "query string"))
+    assert {r["query"] for r in store.rows.read().collect()} == {"c", "d", "e"} == {r["query"] for r in store.headers.read().collect()}
+    same = {p for p in files() if before.get(p) == files()[p]}
+    assert {p for p in before if "created_day=2024-01-02" in str(p)} <= same
+    assert not any("created_day=2024-01-01" in str(p) for p in files())
+    store.expire("2024-01-10 11:00:00")
+    assert {r["query"] for r in store.rows.read().collect()} == {"e"}
+    assert not any("created_day=2024-01-02" in str(p) for p in files())
+    store.remove(spark.createDataFrame([("nothing",)], "query string"))
+    assert [r.n_results for r in store.headers.read().collect()] == [1]
+
+
 def test_day_partitions_prune(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path / "results"))
     at = "2024-01-05 12:00:00"
