@@ -25,8 +25,6 @@ from pagesift.llm.common import bounded_batches, column, fresh
 from pagesift.sources.scratch import cut
 
 UNKNOWN = "und"
-#: Parts that a language is dealt into when its smallest hashes are looked for.
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -227,19 +225,21 @@ class Predictor:
 def sample(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, settings: Settings) -> list[tuple[str, bytes]]:
     """(language, window) pairs for training: bounded by ``Settings``, spread over each chosen document.
 
-    Of each language the documents with the smallest hashes of ``key_col`` are taken:
-    the largest hash that counts is found on hashes alone, then those documents
-    are read.  Rows that share language and key count as one.
+    Of each language the documents with the smallest hashes of ``key_col`` are taken.
+    How many keys a language has (a sketch that combines before the shuffle) gives a
+    limit below which there are a few times as many as needed; only those are
+    ranked.  Rows that share language and key count as one.
     """
     rows = labelled.select(
         column(text_col).alias("text"), column(lang_col).alias("lang"), F.xxhash64(column(key_col).cast("string")).alias("h")
     ).filter("text is not null and lang is not null")
-    ranked = rows.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
-    for keys in (["lang", "salt"], ["lang"]):  # the second sees a number of rows that does not grow with the input
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-        ranked = ranked.withColumn("r", rank).filter(F.col("r") <= settings.docs_per_language)
-    last = cut(ranked.groupBy("lang").agg(F.max("h").alias("last")))
-    chosen = rows.join(last, "lang").filter("h <= last").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    most = settings.docs_per_language
+    keys = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("keys")))
+    share = F.col("h").cast("double") / F.lit(2.0**64) + 0.5  # evenly spread over 0 to 1
+    near = rows.join(keys, "lang").filter(share * F.col("keys") < 3 * most + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = once.withColumn("r", rank).filter(F.col("r") <= most)
     n, size = settings.windows_per_doc, settings.window
     spread = F.greatest(F.floor((F.length("text") - size) / n), F.lit(0))
     pieces = F.transform(

@@ -91,8 +91,11 @@ def homes() -> np.ndarray:
     errors = np.concatenate([*errors, pairs, triples])
     leader = np.empty(1 << 11, np.int32)
     leader[remainder(errors)] = errors  # perfect: each syndrome has one error pattern
-    every = np.arange(1 << 23, dtype=np.int32)
-    return ((every ^ leader[remainder(every)]) >> 11).astype(np.int16)
+    table = np.empty(1 << 23, np.int16)
+    for at in range(0, len(table), 1 << 18):  # in parts, for the memory that this takes
+        part = np.arange(at, at + (1 << 18), dtype=np.int32)
+        table[at : at + len(part)] = (part ^ leader[remainder(part)]) >> 11
+    return table
 
 
 def near_indices(segment: np.ndarray, width: int) -> np.ndarray:
