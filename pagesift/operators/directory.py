@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagesift.functions import dom
 from pagesift.functions.css import matcher
 from pagesift.functions.text import has_any_word, is_blank, is_int32, trim_ws
+from pagesift.sources.captures import fetch
 from pagesift.sources.rules import GLOBE_CLASS, Rules
 
 
@@ -101,7 +102,7 @@ def website_links(pages: DataFrame, rules: Rules, *keys: str) -> DataFrame:
 
 def directory_captures(captures: DataFrame, directory: DataFrame) -> DataFrame:
     """Captures of the directory pages ``directory(url, page_ord)``; others are never parsed."""
-    return captures.join(directory, "url")
+    return fetch(directory, captures)
 
 
 def first_by_url(links: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import cards, directory, forms
 from pagesift.operators.html import parse_pages
-from pagesift.sources.captures import fetch
+from pagesift.sources.captures import fetch, locate
 from pagesift.sources.links import LINK_COLUMNS, link_id
 from pagesift.sources.rules import Rules
 from pagesift.sources.scratch import cut
@@ -22,12 +22,13 @@ def directory_union(captures: DataFrame, pages: DataFrame, rules: Rules) -> Data
 def discovery_report(captures: DataFrame, pages: DataFrame, rules: Rules) -> DataFrame:
     """Every website link with what was found for it, or the stage and reason it stopped at.
 
-    ``captures.url`` is unique.  The pages of one stage are known only from the
-    one before it, so there are three joins of wanted URLs to captures.  Each
-    is an inner join, so that a short list of wanted URLs can be broadcast and
-    the captures are filtered where they are scanned; what was not captured
-    shows up as a missing row afterwards.  Between stages the site list - one
-    short row per site - is checkpointed.
+    A URL may have been captured several times; its latest capture counts.  The
+    pages of one stage are known only from the one before it, so there are three
+    joins of wanted URLs to captures.  Each matches URLs on narrow columns and
+    takes bodies by capture id; it is an inner join, so that a short list can be
+    broadcast and the captures are filtered where they are scanned.  What was not
+    captured shows up as a missing row afterwards.  Between stages the site list -
+    one short row per site - is checkpointed.
     """
     sites = cut(
         directory.first_by_url(directory_union(captures, pages, rules)).select(
@@ -41,11 +42,13 @@ def discovery_report(captures: DataFrame, pages: DataFrame, rules: Rules) -> Dat
     wanted = cards.probe_urls(linked.filter("search_url is not null"), rules).select(
         "url", "probe_no", "probe_url"
     )
-    timed = fetch(wanted, captures.select(F.col("url"), "elapsed_ms"), "probe_url")
-    times = timed.groupBy("url").agg(
-        F.count("*").alias("n_captured"), cards.three_times().alias("response_time")
+    located = cut(locate(wanted, captures, "probe_url"))
+    times = (
+        located.join(captures.select("capture_id", "elapsed_ms"), "capture_id")
+        .groupBy("url")
+        .agg(F.count("*").alias("n_captured"), cards.three_times().alias("response_time"))
     )
-    probes = parse_pages(fetch(wanted, captures.select(F.col("url"), "html"), "probe_url"))
+    probes = parse_pages(located.join(captures.select("capture_id", "html"), "capture_id"))
     selectors = cards.find_card_selectors(probes, "url").withColumnRenamed("reject_reason", "card_reason")
 
     complete = F.coalesce(F.col("n_captured"), F.lit(0)) == 3

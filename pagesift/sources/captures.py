@@ -32,8 +32,27 @@ def read_captures(
     return raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms"))
 
 
+def latest(captures: DataFrame) -> DataFrame:
+    """``url, capture_id``: of the captures of one URL the one with the largest id, as crawls number them.
+
+    A combining aggregate over two narrow columns: a URL that was crawled very
+    often arrives as one row per task, and no body is read.
+    """
+    return captures.groupBy("url").agg(F.max("capture_id").alias("capture_id"))
+
+
+def locate(wanted: DataFrame, captures: DataFrame, url: str = "url") -> DataFrame:
+    """``wanted`` with ``capture_id`` of the latest capture of its URL; what was not captured gives no row."""
+    asked = wanted.select(F.col(url).alias("_url")).distinct()
+    matched = latest(captures.join(asked, F.col("url") == F.col("_url"), "left_semi").select("url", "capture_id"))
+    return wanted.join(matched.withColumnRenamed("url", "_captured"), wanted[url] == F.col("_captured")).drop("_captured")
+
+
 def fetch(wanted: DataFrame, captures: DataFrame, url: str = "url") -> DataFrame:
-    """Fetch = equi-join of the wanted URL to the captured one.  No capture, no row."""
-    return wanted.join(captures.withColumnRenamed("url", "_captured"), wanted[url] == F.col("_captured")).drop(
-        "_captured"
-    )
+    """Fetch = equi-join of the wanted URL to the captured one.  No capture, no row.
+
+    A URL that was captured several times gives its latest capture.  URLs are
+    matched on narrow columns first; bodies come in by capture id, and only
+    those that are wanted.
+    """
+    return locate(wanted, captures, url).join(captures.drop("url"), "capture_id")
