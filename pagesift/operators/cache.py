@@ -28,6 +28,8 @@ MINUTE = 60_000_000
 DAY = 24 * 60 * MINUTE
 REPLAY_TTL = 5 * MINUTE
 STORE_TTL = 7 * DAY
+#: Parts that the events of one key are dealt into when they meet the key's carried state.
+PARTS = 32
 
 
 def _bucket(us: Column, width: int) -> Column:
@@ -99,25 +101,6 @@ def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
         edges = cut(doubled.select("key", "us", F.col("second").alias("after")))
 
 
-def spaced(starts: DataFrame, lifetime: int) -> DataFrame:
-    """The starts ``(key, us)`` at which a new ``lifetime`` begins, given starts that are already apart.
-
-    For the outputs of ``search_starts``: a key has at most one start per
-    replay lifetime - 8640 in 30 days of five-minute runs, however many events
-    it has - so a key's starts are folded in order as one array of times.
-    """
-    times = starts.groupBy("key").agg(F.sort_array(F.collect_list("us")).alias("times"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate(
-        "times",
-        none,
-        lambda acc, us: F.when(
-            (F.size(acc) == 0) | (us >= F.try_element_at(acc, F.lit(-1)) + lifetime), F.array_append(acc, us)
-        ).otherwise(acc),
-    )
-    return times.select("key", F.explode(kept).alias("us"))
-
-
 def _attach(events: DataFrame, starts: DataFrame, lifetime: int) -> DataFrame:
     """Adds ``start_us``: the start that is alive at each event.
 
@@ -155,8 +138,12 @@ def single_flight(
     """
     lifetime = replay_ttl + search_us
     if carry is not None:
-        seen = carry.select("key", F.col("start_us").alias("_carried"))
-        events = events.join(seen, "key", "left").withColumn("us", F.greatest("us", "_carried")).drop("_carried")
+        # A key's events are dealt into parts, and its one row of state is there for each part.
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        seen = carry.select("key", F.col("start_us").alias("_carried"), parts.alias("_part"))
+        dealt = events.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
+        late = dealt.join(seen, ["key", "_part"], "left").withColumn("us", F.greatest("us", "_carried"))
+        events = late.drop("_carried", "_part")
     first = events.groupBy("key", "us").agg(F.min("event_id").alias("start_id"))
     if carry is not None:
         first = (
@@ -189,7 +176,7 @@ def query_outcome(
     starts = runs.select("key", F.col("start_us").alias("us")).distinct()
     if carry is not None:
         starts = starts.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
-    searches = spaced(starts, store_ttl + search_us).select(
+    searches = search_starts(cut(starts), store_ttl + search_us).select(
         "key", F.col("us").alias("start_us"), F.lit(True).alias("_searched")
     )
     outcome = (
@@ -219,6 +206,18 @@ def carry_over(outcomes: DataFrame, carry: DataFrame | None, horizon_us: int | N
     return state if newest is None else state.filter(F.col("start_us") >= newest - horizon_us)
 
 
+def serving_searches(
+    outcomes: DataFrame, carry: DataFrame | None = None, store_ttl: int = STORE_TTL, search_us: int = 0
+) -> DataFrame:
+    """``key, start_us, search_us``: for each run the search whose results it serves, by itself or from the store."""
+    searches = outcomes.filter("outcome = 'search'").select("key", F.col("start_us").alias("us")).distinct()
+    if carry is not None:
+        searches = searches.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
+    runs = outcomes.select("key", F.col("start_us").alias("us")).distinct()
+    served = _attach(runs, searches, store_ttl + search_us)
+    return served.select("key", F.col("us").alias("start_us"), F.col("start_us").alias("search_us"))
+
+
 def replay(attached: DataFrame, results: DataFrame) -> DataFrame:
     """Every reader gets the full result set of the run it shares, once: results keyed by (key, start_us)."""
     return attached.join(results, ["key", "start_us"])

@@ -10,6 +10,7 @@ from pagesift.functions.binding import computed, let
 from pagesift.functions.css import select_by_steps, selector_steps
 from pagesift.functions.text import is_blank
 from pagesift.functions.urls import abs_url, is_result_href, url_escape, url_slug
+from pagesift.sources.captures import latest
 
 IMAGE_ATTRIBUTES = ["data-src", "src", "data-original", "data-image"]  # fixed values, in order of preference
 
@@ -55,7 +56,8 @@ def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
         F.col("search_url").substr(at + 3, F.length("search_url")).alias("_suffix"),
     )
     templates = templates.withColumn("_in_host", ~F.col("_head").rlike(_AUTHORITY))
-    urls = captures.select("capture_id", F.col("url").alias("capture_url"))
+    # Of the captures of one URL the latest counts.
+    urls = latest(captures).select("capture_id", F.col("url").alias("capture_url"))
     authority = F.length(F.regexp_extract("capture_url", _AUTHORITY, 0))
     pages = urls.select("*", F.explode(_heads(F.col("capture_url"), authority)).alias("_head"))
     short = templates.filter("_in_host").select("_head").distinct()

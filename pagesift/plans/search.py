@@ -70,3 +70,18 @@ def search_from_candidates(queries: DataFrame, candidates: DataFrame, *keys: str
     return ranking.result_rows(
         ranking.title_or_slug(keyed.join(candidates, "query_key")), *keys, "query", "link_ord", "card_ord"
     )
+
+
+def scored_candidates(candidates: DataFrame) -> DataFrame:
+    """Scored results of all captured search pages, by ``query``: a captured URL holds one query, so no query log is needed.
+
+    Escaping is undone; a key that is no escaped query text has no asker.
+    """
+    asked = candidates.select(F.try_url_decode("query_key").alias("query"), "query_key").distinct()
+    known = asked.filter(F.col("query").isNotNull() & (url_escape(F.col("query")) == F.col("query_key")))
+    return search_from_candidates(known.select("query"), candidates)
+
+
+def attach_results(queries: DataFrame, scored: DataFrame, *keys: str) -> DataFrame:
+    """Results for ``queries`` (batch or stream, normalised ``query``) from ``scored_candidates``."""
+    return ranking.result_rows(queries.join(scored, "query"), *keys, "query", "link_ord", "card_ord")

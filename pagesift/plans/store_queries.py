@@ -171,7 +171,7 @@ def _filled(spark: SparkSession, sf_dir: str) -> result_source.ResultStore:
     """A store that holds all rows of ``_stored``; the rank is the part's key."""
     store = result_source.ResultStore(spark, scratch_path(spark, "results"))
     rows = cut(_stored(spark, sf_dir).withColumn("rank", F.col("p_partkey")))
-    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), EARLY, "a")
+    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), "a")
     return store
 
 
@@ -206,7 +206,7 @@ def results_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored twice under other titles and batches: the first write of a query stays."""
     store = _filled(spark, sf_dir)
     rows = cut(_stored(spark, sf_dir).withColumn("rank", F.col("p_partkey")).withColumn("title", F.lit("again")))
-    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), EARLY, "b")
+    store.put(rows.select("query", "created_at").distinct(), rows.drop("created_at"), "b")
     kept = store.rows.read().groupBy("query").agg(F.min("title").alias("first_title"))
     return store.headers.read().join(kept, "query").select("query", _stamp(), "n_results", "first_title")
 

@@ -9,11 +9,13 @@ from pagesift.functions.text import normalise_string
 from pagesift.operators import cache, ranking
 from pagesift.plans import render
 from pagesift.plans.registry import normal, query
-from pagesift.plans.search import search_candidates, search_from_candidates
+from pagesift.plans.answer import answer_log as run_answer_log
+from pagesift.plans.search import scored_candidates, search_candidates, search_from_candidates
 from pagesift.plans.search_queries import _COLUMNS, RANKED
 from pagesift.sources.captures import spread
 from pagesift.sources.results import ResultStore, live
 from pagesift.sources.scratch import cut, scratch_path
+from pagesift.streaming.answer_stream import answer_stream as run_answer_stream
 from pagesift.streaming.cache_stream import stream_outcomes
 from pagesift.streaming.search_stream import append_results, store_results
 from pagesift.streaming.search_stream import stream_search as run_stream_search
@@ -49,9 +51,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spread(render.table(spark, sf_dir, "events").select("event_id", "event_type", "props", "ts")))
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = render.table(spark, sf_dir, "events").schema
-    return _keyed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+def _in_files(events: DataFrame, files: int) -> DataFrame:
+    """Events as a stream of files in time order, one file a micro-batch."""
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, "events")
+    span = events.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    for n in range(files):
+        lo, hi = (span["a"] + (span["b"] + 1 - span["a"]) * k // files for k in (n, n + 1))
+        # One range after the other, so that the stream finds the files in order of time.
+        events.filter((F.col("us") >= lo) & (F.col("us") < hi)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("single_flight", f"with recursive {_EVENTS} select event_id, start_id from r")
@@ -80,7 +88,7 @@ def query_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("query_outcome_stream", f"with recursive {_EVENTS} select event_id, start_id, outcome from r")
 def query_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "outcomes")
-    stream_outcomes(_event_stream(spark, sf_dir), path, f"{path}/checkpoint").awaitTermination()
+    stream_outcomes(_in_files(_events(spark, sf_dir), 4), path, f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/outcomes").select("event_id", "start_id", "outcome")
 
 
@@ -113,9 +121,10 @@ def _query_stream(spark: SparkSession, sf_dir: str, files: int = 2) -> DataFrame
     made = names.select(
         F.concat(F.lit(" "), F.upper("p_name"), F.lit("!")).alias("q"),
         (F.lit("2024-01-10 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("k"))).alias("created_at"),
+        "k",
     )
     # Upper-case text normalises to the lower-case name, title-cased.
-    made.repartition(files).write.parquet(path)
+    made.repartition(files, "k").drop("k").write.parquet(path)
     schema = "q string, created_at timestamp"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -123,7 +132,7 @@ def _query_stream(spark: SparkSession, sf_dir: str, files: int = 2) -> DataFrame
 @query("stream_search", f"with {RANKED} select query, {_COLUMNS} from ranked")
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream")
-    results = run_stream_search(_query_stream(spark, sf_dir), _candidates(spark, sf_dir))
+    results = run_stream_search(_query_stream(spark, sf_dir), cut(scored_candidates(_candidates(spark, sf_dir))))
     append_results(results, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return ranking.result_rows(spark.read.parquet(f"{out}/data"), "query")
 
@@ -158,7 +167,7 @@ def arrival_then_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live readers see the append stream; later readers the stored, ranked rows."""
     candidates = _candidates(spark, sf_dir)
     out = scratch_path(spark, "stream")
-    live_rows = run_stream_search(_query_stream(spark, sf_dir), candidates)
+    live_rows = run_stream_search(_query_stream(spark, sf_dir), cut(scored_candidates(candidates)))
     append_results(live_rows, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     stored = _write_back(spark, sf_dir, candidates).rows.read()
     first = spark.read.parquet(f"{out}/data").select(
@@ -197,3 +206,42 @@ def read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(*columns)
         .unionByName(new.withColumn("source", F.lit("search")).select(*columns))
     )
+
+
+# --- the answering job ---------------------------------------------------------------
+
+# The event log again, with the name of part k as the query.
+_ASKED = _EVENTS.replace(normal("event_type || ' ' || json_extract_string(props, '$.k')"), normal("p_name")).replace(
+    "partition by event_type || ' ' || json_extract_string(props, '$.k')", "partition by p_name"
+).replace("from events)", "from events join part on p_partkey = json_extract_string(props, '$.k')::bigint)")
+_ANSWERS = f"""with recursive {_ASKED}, {RANKED},
+    n as (select query, count(*) as n_results from ranked group by query)
+  select event_id, key as query, outcome, epoch_us(search_ts) as search_us, coalesce(n_results, 0) as n_results, title, result_url
+  from r left join n on n.query = key left join (select * from ranked where rank = 1) b on b.query = key"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events(event_id, key, us): every event asks for the part whose key it carries."""
+    events = spread(render.table(spark, sf_dir, "events").select("event_id", "props", "ts"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    names = render.table(spark, sf_dir, "part").select("p_partkey", normalise_string(F.col("p_name")).alias("key"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.join(names, k == F.col("p_partkey")).select("event_id", "key", us.alias("us"))
+
+
+@query("answer_log", _ANSWERS)
+def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of events: shared runs, stored results, searches again after seven days."""
+    store = ResultStore(spark, scratch_path(spark, "results"))
+    return run_answer_log(_asked(spark, sf_dir), _candidates(spark, sf_dir), store, "log")
+
+
+@query("answer_stream", _ANSWERS)
+def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream of four files give the same answers."""
+    path = scratch_path(spark, "answers")
+    store = ResultStore(spark, f"{path}/results")
+    events = _in_files(cut(_asked(spark, sf_dir)), 4)
+    run_answer_stream(events, store, _candidates(spark, sf_dir), path, f"{path}/checkpoint").awaitTermination()
+    columns = ["event_id", "query", "outcome", "search_us", "n_results", "title", "result_url"]
+    return spark.read.parquet(f"{path}/answers").select(*columns)

@@ -34,17 +34,13 @@ def stored_results(queries: DataFrame, stored: DataFrame) -> DataFrame:
     return queries.join(stored, "query")
 
 
-def put_headers(headers: DataFrame, new: DataFrame) -> DataFrame:
-    """Header rows to append: the query is the unique key, so a stored query is not written again.
-
-    ``new`` has ``query, created_at`` once per finished search and ``n_results``.
-    """
-    return new.join(headers.select("query"), "query", "left_anti")
-
-
-def put_results(headers: DataFrame, results: DataFrame) -> DataFrame:
-    """Result rows to append: those of queries that are not stored yet."""
-    return results.join(headers.select("query"), "query", "left_anti")
+def put_headers(headers: DataFrame, new: DataFrame, ttl: str = RESULT_TTL) -> DataFrame:
+    """``query, created_at`` of finished searches that no stored one of their query outlives."""
+    known = headers.select("query", F.col("created_at").alias("known_at"))
+    at = F.col("created_at")
+    alive = (F.col("known_at") <= at) & (at < F.col("known_at") + F.expr(f"INTERVAL {ttl}"))
+    stored = new.join(known, "query").filter(alive).select("query", "created_at")
+    return new.select("query", "created_at").distinct().join(stored, ["query", "created_at"], "left_anti")
 
 
 def remove_results(stored: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,18 +70,24 @@ class ResultStore:
         known = self.live_headers(as_of).select("query", "created_at")
         return stored_results(queries, self._live(self.rows, as_of).join(known, ["query", "created_at"], "left_semi"))
 
-    def put(self, searched: DataFrame, ranked: DataFrame, as_of: str, batch: str) -> None:
-        """Store finished searches: ``searched(query, created_at)`` and their ranked rows.
+    def put(self, searched: DataFrame, ranked: DataFrame, batch: str) -> None:
+        """Store finished searches: ``searched(query, created_at)``, and ``ranked`` rows by query.
 
-        A query that is already stored and live is left as it is.  Rows go
-        first and headers last: a query counts as stored when its header is there.
+        A query can be searched several times in one batch, as days apart; each
+        search is judged at its own time: while an earlier one of the query is
+        stored and alive, it is left out.  Rows go first and headers last: a query
+        counts as stored when its header is there.
         """
-        known = self.live_headers(as_of).filter(F.col("batch") != batch)
+        first = searched.agg(F.date_format(F.min("created_at"), "yyyy-MM-dd HH:mm:ss").alias("at")).first()["at"]
+        if first is None:
+            return
+        known = self.live_headers(first).filter(F.col("batch") != batch)
+        new = cut(put_headers(known, searched))
         named = (F.to_date("created_at").alias("created_day"), F.lit(batch).alias("batch"))
-        rows = put_results(known, ranked).join(searched.select("query", "created_at"), "query")
+        rows = ranked.join(new, "query")
         self.rows.append(rows.select("query", "rank", *RESULT_COLUMNS, "created_at", *named))
         counts = ranked.groupBy("query").agg(F.count("*").alias("n_results"))
-        headers = put_headers(known, searched).join(counts, "query", "left").fillna(0, ["n_results"])
+        headers = new.join(counts, "query", "left").fillna(0, ["n_results"])
         self.headers.append(headers.select("query", "created_at", "n_results", *named))
 
     def remove(self, queries: DataFrame) -> None:

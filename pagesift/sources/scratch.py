@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_blocks = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_blocks, "open", [])[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside the block (by this thread) are deleted at its end; nothing may read them later."""
+    _blocks.open = [*getattr(_blocks, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _blocks.open.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pagesift.operators.cache import REPLAY_TTL, STORE_TTL, carry_over, query_outcome
-from pagesift.sources.scratch import cut
+from pagesift.sources.scratch import cut, delete, freed
 
 
 def outcome_batches(
@@ -30,15 +30,26 @@ def outcome_batches(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carry = spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
-        outcomes = cut(query_outcome(batch, replay_ttl, store_ttl, search_us, carry))
-        outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={batch_id}")
-        state = carry_over(outcomes, carry, store_ttl + replay_ttl + 2 * search_us)
-        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        with freed(spark):
+            carry = read_state(spark, path, batch_id)
+            outcomes = cut(query_outcome(batch, replay_ttl, store_ttl, search_us, carry))
+            outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={batch_id}")
+            write_state(carry_over(outcomes, carry, store_ttl + replay_ttl + 2 * search_us), path, batch_id)
 
     return run
 
 
+def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
+
+
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    """State behind a micro-batch.  The one before is kept, for a repetition; older ones go."""
+    state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+    if batch_id > 1:
+        delete(state.sparkSession, f"{path}/state/batch={batch_id - 2}")
+
+
 def stream_outcomes(events: DataFrame, path: str, checkpoint: str, **lifetimes: int) -> StreamingQuery:
     return (
         events.writeStream.foreachBatch(outcome_batches(path, **lifetimes))

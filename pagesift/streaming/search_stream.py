@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagesift.functions.text import normalise_string
-from pagesift.operators.ranking import rank_results
-from pagesift.plans.search import search_from_candidates
+from pagesift.operators.cache import query_outcome
+from pagesift.plans.answer import search_and_store, stored_state
+from pagesift.plans.search import attach_results
 from pagesift.sources.results import ResultStore
-from pagesift.sources.scratch import cut
+from pagesift.sources.scratch import cut, freed
 
 
-def stream_search(queries: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
+def stream_search(queries: DataFrame, scored: DataFrame, *keys: str) -> DataFrame:
     """Streaming ``queries(q, keys...)`` -> scored results, unordered.
 
-    What depends on pages only is on the static side (``search_candidates``,
-    stored once), so the stream is a stateless join plus scoring.
+    ``scored`` is the static side (``scored_candidates``, stored once): each
+    captured page is scored for its query once, however often that is asked.  The
+    stream is a stateless join.
     """
     normal = queries.withColumn("query", normalise_string(F.col("q")))
-    return search_from_candidates(normal, candidates, *keys)
+    return attach_results(normal, scored, *keys)
 
 
 def append_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -38,20 +40,27 @@ def append_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def write_back(store: ResultStore, candidates: DataFrame) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: search the batch's queries and store them ranked.
+    """``foreachBatch`` function: search what is not stored at its own time, and store it ranked.
 
-    The batch has ``q`` and ``created_at``.  A query without any result is
-    stored with an empty list; a failed batch stores nothing and is run again.
+    The batch has ``q`` and ``created_at``.  The searches are those of
+    ``query_outcome``, so a query that comes again after its results have expired
+    is searched and stored again, and one that is stored is not searched.  A query
+    without any result is stored with an empty list; a failed batch stores nothing
+    and is run again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        normal = batch.select(normalise_string(F.col("q")).alias("query"), "created_at")
-        searched = cut(normal.groupBy("query").agg(F.min("created_at").alias("created_at")))
-        newest = searched.agg(F.max("created_at").cast("string").alias("at")).first()["at"]
-        if newest is None:
-            return
-        found = cut(search_from_candidates(searched.select("query"), candidates))
-        store.put(searched, rank_results(found), newest, f"batch-{batch_id}")
+        with freed(batch.sparkSession):
+            events = cut(
+                batch.select(
+                    F.xxhash64("q", "created_at").alias("event_id"),
+                    normalise_string(F.col("q")).alias("key"),
+                    F.unix_micros("created_at").alias("us"),
+                ).filter("us is not null")
+            )
+            name = f"batch-{batch_id}"
+            outcomes = cut(query_outcome(events, carry=cut(stored_state(store, events, name))))
+            search_and_store(outcomes, candidates, store, name)
 
     return run
 

@@ -67,7 +67,7 @@ def test_results_are_written_once_while_they_live(spark, tmp_path):
             "query", F.col("at").cast("timestamp").alias("created_at")
         )
         rows = spark.createDataFrame([result(q, 1, title) for q in queries if q != "empty"], schema)
-        store.put(searched, rows, at, batch)
+        store.put(searched, rows, batch)
 
     def titles(at):
         asked = spark.createDataFrame([("a",), ("b",), ("empty",)], "query string")
@@ -96,7 +96,7 @@ def test_upkeep_touches_only_what_it_must(spark, tmp_path):
     for day, names in (("01", "ab"), ("02", "cd"), ("05", "ae")):
         at = f"2024-01-{day} 12:00:00"
         searched = spark.createDataFrame([(q,) for q in names], "query string").withColumn("created_at", F.lit(at).cast("timestamp"))
-        store.put(searched, spark.createDataFrame([result(q, 1, day) for q in names], schema), at, f"b {day}/x")
+        store.put(searched, spark.createDataFrame([result(q, 1, day) for q in names], schema), f"b {day}/x")
 
     def files():
         return {p: p.stat().st_mtime_ns for p in (tmp_path / "results").rglob("part-*")}
@@ -118,7 +118,7 @@ def test_day_partitions_prune(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path / "results"))
     at = "2024-01-05 12:00:00"
     searched = spark.createDataFrame([("a",)], "query string").withColumn("created_at", F.lit(at).cast("timestamp"))
-    store.put(searched, spark.createDataFrame([result("a", 1, "t")], "query string, rank bigint, " + RESULT_DDL), at, "1")
+    store.put(searched, spark.createDataFrame([result("a", 1, "t")], "query string, rank bigint, " + RESULT_DDL), "1")
     plan = store._live(store.rows, at)._jdf.queryExecution().executedPlan().toString()
     assert "created_day" in plan.split("PartitionFilters: ")[1].split("]")[0]
 
