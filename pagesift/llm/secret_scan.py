@@ -230,3 +230,50 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(F.array_sort(F.concat("base", "entropy"))).alias("spans"),
     )
+
+
+# --- the same in SQL ---------------------------------------------------------------
+
+
+def oracle(settings: EntropySettings | None = None) -> str:
+    """Windows are counted anew at every place here; the weights are the same integers."""
+    rules = settings or EntropySettings()
+    n = rules.window
+
+    def either_case(words: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+    keys = either_case("password|passwd|secret|token|api_?key")
+    assign = f"({keys})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+    def found(kind: int, pattern: str, keep: str) -> str:
+        return f"""select doc_id, {kind} as rank, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda k: {{'part': m[k],
+              'start': coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0)
+                       + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)}}), lambda s: {keep})) as s
+            from (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g
+                  from d where regexp_matches(t, '{pattern}'))"""
+
+    limit = " ".join(f"when regexp_matches(c, '^{r.only}$') then {rules.most(r)}" for r in rules.rules)
+    allowed = " or ".join(f"regexp_matches(c, '{p}')" for p in rules.allowed)
+    run = "[A-Za-z0-9+/_=-]{%d,}" % n
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+base as (
+  {found(0, assign, f"length(regexp_extract(s.part, '{assign}', 2)) >= 8")}
+  union all {found(1, "AKIA[A-Z0-9]+", "length(s.part) >= 16")}
+  union all {found(2, "[0-9a-f]{32,}", "true")}),
+candidates as ({found(3, run, "true")}),
+measured as (
+  select doc_id, rank, s, case {limit} end as most,
+         list_min(list_transform(range(1, length(c) - {n - 2}), lambda i: list_sum(list_transform(
+           map_values(list_aggregate(string_split(c[i:i + {n - 1}], ''), 'histogram')), lambda x: {rules.weights()}[cast(x as bigint) + 1])))) as least
+  from (select doc_id, rank, s, s.part as c from candidates) where not ({allowed})),
+spans as (
+  select doc_id, rank, s.start as a, s.start + length(s.part) as b from base
+  union all select doc_id, rank, s.start, s.start + length(s.part) from measured where least <= most),
+spelled as (select *, {list(KINDS)}[rank + 1] || ':' || a::bigint || ':' || b::bigint as x from spans)
+select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access,
+       count(*) filter (rank = 2) as n_hex, count(*) filter (rank = 3) as n_entropy,
+       sha256(coalesce(string_agg(x, ',' order by a, rank) filter (rank < 3), '')) as base_sha256,
+       coalesce(string_agg(x, ',' order by a, rank), '') as spans
+from d left join spelled using (doc_id) group by d.doc_id"""
