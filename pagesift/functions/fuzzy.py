@@ -27,39 +27,36 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _lcs_long(a: str, b: str) -> int:
-    """LCS with Python integers as bit rows: any length."""
-    masks: dict[str, int] = {}
-    for i, char in enumerate(a):
-        masks[char] = masks.get(char, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for char in b:
-        hit = row & masks.get(char, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def _match_masks(short: list[str], long: list[str]) -> np.ndarray:
-    """Per pair and position of the longer text: bit mask of equal positions in the shorter one."""
+    """Per pair and position of the longer text: bits of the equal positions in the shorter one, in 64-bit words."""
     m, n = max(map(len, short)), max(map(len, long))
     a, b = _codes(short, m), _codes(long, n)
-    masks = np.zeros(b.shape, np.uint64)
+    masks = np.zeros((*b.shape, -(-m // 64)), np.uint64)
     for i in range(m):
-        masks |= ((b == a[:, i : i + 1]) & (a[:, i : i + 1] != 0)).astype(np.uint64) << np.uint64(i)
+        equal = (b == a[:, i : i + 1]) & (a[:, i : i + 1] != 0)
+        masks[:, :, i // 64] |= equal.astype(np.uint64) << np.uint64(i % 64)
     return masks
 
 
 def _lcs_windows(masks: np.ndarray, sizes: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     """LCS of the shorter text with ``long[start : start + length]`` for many (row, start) at once."""
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    state = np.full(len(rows), ones)
+    words = masks.shape[2]
+    state = np.full((len(rows), words), ones)
     for step in range(int(lengths.max(initial=0))):
         at = np.minimum(starts + step, masks.shape[1] - 1)
-        hit = np.where(step < lengths, masks[rows, at], np.uint64(0)) & state
-        state = (state + hit) | (state - hit)
-    used = np.where(sizes >= 64, ones, (np.uint64(1) << (sizes % 64).astype(np.uint64)) - np.uint64(1))
-    return np.bitwise_count(~state & used[rows]).astype(np.int64)
+        hits = np.where((step < lengths)[:, None], masks[rows, at], np.uint64(0)) & state
+        carry = np.zeros(len(rows), np.uint64)
+        for w in range(words):
+            row, hit = state[:, w], hits[:, w]
+            low = row + hit
+            total = low + carry
+            if w + 1 < words:
+                carry = ((low < hit) | (total < low)).astype(np.uint64)
+            state[:, w] = total | (row - hit)
+    left = np.clip(sizes[:, None] - 64 * np.arange(words), 0, 64)
+    used = np.where(left == 64, ones, (np.uint64(1) << (left % 64).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~state & used[rows]).sum(axis=1, dtype=np.int64)
 
 
 def _best_lcs(short: list[str], long: list[str], windowed: bool) -> np.ndarray:
@@ -83,23 +80,14 @@ def similarity(pairs: list[tuple[str, str]], windowed: bool) -> np.ndarray:
     """
     out = np.zeros(len(pairs), np.int64)
     ordered = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
-    small = []
-    for i, (a, b) in enumerate(ordered):
-        if not a:
-            continue
-        if len(a) <= 64:
-            small.append(i)
-        elif windowed:
-            best = max(_lcs_long(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1))
-            out[i] = np.rint(100 * best / len(a))
-        else:
-            out[i] = np.rint(200 * _lcs_long(a, b) / (len(a) + len(b)))
-    small.sort(key=lambda i: len(ordered[i][1]))
+    words = {i: -(-len(a) // 64) for i, (a, _) in enumerate(ordered) if a}
+    small = sorted(words, key=lambda i: (words[i], len(ordered[i][1])))
     while small:
         # Pairs of similar length share a matrix; its size is bounded.
         take, cells = 0, 0
-        while take < len(small) and cells < _CELLS:
-            cells += max(64, len(ordered[small[take]][1])) * (len(ordered[small[take]][0]) if windowed else 1)
+        while take < len(small) and cells < _CELLS and words[small[take]] == words[small[0]]:
+            short, long = ordered[small[take]]
+            cells += max(64, len(long)) * (len(short) if windowed else 1) * words[small[take]]
             take += 1
         part, small = small[:take], small[take:]
         short = [ordered[i][0] for i in part]

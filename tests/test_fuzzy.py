@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +64,36 @@ def test_weighted_ratio(spark, a, b, ratio, score):
         .first()
     )
     assert (row.r, row.back, row.s) == (ratio, ratio, score)
+
+
+def lcs(a, b):
+    """With Python integers as bit rows: any length."""
+    masks = {}
+    for i, char in enumerate(a):
+        masks[char] = masks.get(char, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for char in b:
+        hit = row & masks.get(char, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@pytest.mark.parametrize("windowed", [False, True])
+def test_texts_of_any_length(windowed):
+    import numpy as np
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    sizes = [0, 1, 63, 64, 65, 127, 128, 129, 200, 300]
+    pairs = [(text(rng.choice(sizes)), text(rng.choice(sizes))) for _ in range(120)] + [("a" * 130, "a" * 400)]
+    want = []
+    for a, b in pairs:
+        a, b = sorted((a, b), key=len)
+        if not a:
+            want.append(0)
+        elif windowed:
+            want.append(int(np.rint(100 * max(lcs(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1)) / len(a))))
+        else:
+            want.append(int(np.rint(200 * lcs(a, b) / (len(a) + len(b)))))
+    assert similarity(pairs, windowed).tolist() == want
