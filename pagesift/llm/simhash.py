@@ -145,7 +145,9 @@ def keyed(prints: DataFrame, keys, name: str) -> DataFrame:
                 key, owner = keys(values[at : at + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(owner)], ["key", name])
 
-    return prints.mapInArrow(emit, f"key int, {name} bigint")
+    # Short rows that become many: dealt out first, or few tasks would make them all.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.repartition(tasks).mapInArrow(emit, f"key int, {name} bigint")
 
 
 def links(prints: DataFrame) -> DataFrame:
