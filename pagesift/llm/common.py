@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.sources.captures import spread
+
 #: What an Arrow batch may hold; texts of a batch are in a Python worker's memory together.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
@@ -32,7 +34,7 @@ def _number(setting: str) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
