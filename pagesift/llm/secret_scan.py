@@ -57,7 +57,7 @@ class EntropySettings:
     window: int = 20
     rules: tuple[EntropyRule, ...] = (
         EntropyRule("hex", "[0-9A-Fa-f]+", 2.8),
-        EntropyRule("letters", "[A-Za-z]+", 9.0),
+        EntropyRule("letters", "[A-Za-z]+", 3.7),
         EntropyRule("alphanumeric", "[A-Za-z0-9]+", 3.6),
         EntropyRule("base64", "[A-Za-z0-9+/_=-]+", 3.7),
     )
@@ -73,6 +73,9 @@ class EntropySettings:
     def __post_init__(self) -> None:
         if not 2 <= self.window < 127:
             raise ValueError("a window has 2 to 126 characters")
+        for rule in self.rules:
+            if self.most(rule) < 0:
+                raise ValueError(f"no window of {self.window} characters has {rule.bits} bits: class {rule.name} would never be measured")
 
     def most(self, rule: EntropyRule) -> int:
         """Largest sum of c log2 c, in millionths, whose entropy is ``rule.bits`` or more."""
@@ -179,9 +182,7 @@ def is_random(candidate: Column, settings: EntropySettings) -> Column:
     """Whether some window reaches the entropy that the candidate's class asks for, and no allowed pattern matches."""
     limit = F.lit(None).cast("bigint")
     for rule in reversed(settings.rules):
-        # A limit below zero can't be met: such candidates are not measured.
-        most = settings.most(rule)
-        limit = F.when(candidate.rlike(f"^{rule.only}$"), F.lit(most if most >= 0 else None).cast("bigint")).otherwise(limit)
+        limit = F.when(candidate.rlike(f"^{rule.only}$"), F.lit(settings.most(rule)).cast("bigint")).otherwise(limit)
     allowed = F.lit(False)
     for pattern in settings.allowed:
         allowed = allowed | candidate.rlike(pattern)

@@ -71,3 +71,16 @@ def test_whole_table_without_python(spark):
 def test_window_is_bounded():
     with pytest.raises(ValueError):
         S.EntropySettings(window=200)
+
+
+def test_keys_of_letters_only(spark):
+    key = "kQwZxPvRtYbNmLsDfGhJ"
+    docs = documents(spark, [f"key {key}", "eineinkeitchzukeitheit anbletitionthtionbletion", "InternationalizationConfigurationManager"])
+    assert rows(S.secret_report(docs), "doc_id", "spans") == [(1, "entropy:4:24"), (2, ""), (3, "")]
+    check(spark, [f"key {key}", f"{key.lower()} {key.upper()}"])
+
+
+def test_unreachable_limits_are_refused():
+    with pytest.raises(ValueError):
+        S.EntropySettings(rules=(S.EntropyRule("letters", "[A-Za-z]+", 9.0),))
+    S.EntropySettings(window=16, rules=(S.EntropyRule("letters", "[A-Za-z]+", 4.0),))
