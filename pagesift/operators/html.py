@@ -94,20 +94,22 @@ _SPECIAL = (
 _STOPS_LI = _SPECIAL - {"address", "div", "p"}
 
 
-#: Elements nested deeper than this, as by endlessly unclosed tags, make the page an error; browsers stop there too.
-MAX_DEPTH = 512
+#: Depth of the tree: what is nested deeper, as by endlessly unclosed tags, becomes a child of the last element above it.
+MAX_DEPTH = 2048
+#: Open elements that ``_find`` looks at one by one before it asks for the last one of each tag.
+NEAR = 64
 #: Trimmed text of a node up to this length is kept with it as ``label``.
 LABEL_CHARS = 25
 #: Everything but Unicode white space.
 _INK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-class TooDeep(Exception):
-    """The page nests more than ``MAX_DEPTH`` elements."""
-
-
 class _Tree:
-    """Builds the flat node columns of one page from its tokens."""
+    """Builds the flat node columns of one page from its tokens.
+
+    Elements at ``MAX_DEPTH`` have no descendants: those that are open inside them
+    are their siblings.  Each still has its own text, with that of what it holds.
+    """
 
     def __init__(self) -> None:
         self.parent: list[int] = []
@@ -122,19 +124,19 @@ class _Tree:
         self.chunks: list[str] = []
         self.pos = 0
         self.stack: list[int] = []
+        self.open: dict[str, list[int]] = {}  # open elements of each tag, ascending as on the stack
         self.body = -1
         self._open("html", {})
         self._open("head", {})
 
     def _open(self, tag: str, attrs: dict[str, str]) -> int:
-        if len(self.stack) > MAX_DEPTH:
-            raise TooDeep
         node = len(self.tag)
-        up = self.stack[-1] if self.stack else -1
+        depth = min(len(self.stack), MAX_DEPTH)
+        up = self.stack[depth - 1] if depth else -1
         self.parent.append(up)
         self.tag.append(tag)
         self.attrs.append(attrs)
-        self.depth.append(len(self.stack))
+        self.depth.append(depth)
         self.start.append(self.pos)
         self.last.append(node)
         self.length.append(0)
@@ -145,11 +147,14 @@ class _Tree:
         else:
             self.sib.append(0)
         self.stack.append(node)
+        self.open.setdefault(tag, []).append(node)
         return node
 
     def _pop(self) -> None:
         node = self.stack.pop()
-        self.last[node] = len(self.tag) - 1
+        self.open[self.tag[node]].pop()
+        if len(self.stack) < MAX_DEPTH:
+            self.last[node] = len(self.tag) - 1
         self.length[node] = self.pos - self.start[node]
 
     def _pop_through(self, depth: int) -> None:
@@ -158,13 +163,20 @@ class _Tree:
 
     def _find(self, tags, stop) -> int:
         """Stack position of the nearest open element in ``tags`` not behind ``stop``, or -1."""
-        for i in range(len(self.stack) - 1, -1, -1):
+        below = max(-1, len(self.stack) - 1 - NEAR)
+        for i in range(len(self.stack) - 1, below, -1):
             tag = self.tag[self.stack[i]]
             if tag in tags:
                 return i
             if tag in stop:
                 return -1
-        return -1
+        if below < 0:
+            return -1
+        found = self._last_open(tags)
+        return bisect_left(self.stack, found) if found >= 0 and found >= self._last_open(stop) else -1
+
+    def _last_open(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def _close(self, tags, stop) -> bool:
         at = self._find(tags, stop)

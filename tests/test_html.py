@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import dom, selectors
 from pagesift.functions.css import select_by_steps, selector_steps
-from pagesift.operators.html import build_tree, elements, parse_pages
+from pagesift.operators.html import MAX_DEPTH, build_tree, elements, parse_pages
 
 
 def outline(html):
@@ -108,6 +108,32 @@ def test_endless_nesting_is_an_error_of_the_page(pages):
     assert [tuple(r) for r in deep.collect()] == [(0, "TooDeep", 0), (1, None, 4), (2, None, 403)]
 
 
+@pytest.mark.parametrize("n", [520, 600, 100_000])
+@pytest.mark.parametrize("tag", ["b", "font", "div"])
+def test_endless_nesting_keeps_every_element(n, tag):
+    t = build_tree("<a href=x>before</a>" + f"<{tag}>" * n + "<form><input name=q></form>behind")
+    assert len(t.tag) == n + 6 and t.tag.count(tag) == n and t.full == "beforebehind"
+    form = t.tag.index("form")
+    assert t.length[t.tag.index(tag)] == len("behind") and t.last[0] == len(t.tag) - 1
+    if n < MAX_DEPTH:
+        assert t.depth[form] == n + 2 and t.parent[form + 1] == form
+    else:
+        assert max(t.depth) == MAX_DEPTH and t.parent[form] == t.parent[form + 1] == t.parent[n]
+
+
+@given(st.lists(_PIECES, max_size=30).map("".join))
+def test_deep_stacks_find_the_same_elements(html):
+    from pagesift.operators import html as module
+
+    want, near = build_tree(html), module.NEAR
+    module.NEAR = 1
+    try:
+        got = build_tree(html)
+    finally:
+        module.NEAR = near
+    assert (got.tag, got.parent, got.last, got.length) == (want.tag, want.parent, want.last, want.length)
+
+
 def test_plan_does_not_depend_on_the_size_of_the_input(spark, tmp_path):
     from pagesift.operators.html import parse_pages
     from pagesift.sources.captures import SPREAD
