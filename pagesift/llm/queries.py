@@ -55,7 +55,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_secrets", secret_scan.oracle())
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"), settings=secret_scan.EntropySettings(by_part=True))
 
 
 @query("op4_chat", chat.ORACLE)

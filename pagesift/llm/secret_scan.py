@@ -51,7 +51,9 @@ class EntropyRule:
 class EntropySettings:
     """The first rule whose class holds all characters of a candidate decides on it.
 
-    A candidate that matches an ``allowed`` pattern is not reported.
+    A candidate that matches an ``allowed`` pattern is not reported.  With
+    ``by_part``, an unanchored pattern takes only the parts between ``=`` and ``/``
+    that it matches in; what is left on either side is a candidate of its own.
     """
 
     window: int = 20
@@ -69,6 +71,7 @@ class EntropySettings:
             r"^[a-z]+([-_/=+][a-z]+)*$",
         )
     )
+    by_part: bool = False
 
     def __post_init__(self) -> None:
         if not 2 <= self.window < 127:
@@ -190,9 +193,37 @@ def is_random(candidate: Column, settings: EntropySettings) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(measured)
 
 
+def left_over(match: Column, settings: EntropySettings) -> Column:
+    """The candidates of a match: itself, or what lies between the parts that an unanchored pattern takes."""
+    words = "|".join(f"(?:{p})" for p in settings.allowed if not p.startswith("^"))
+    if not words:
+        return F.array(match)
+    taken = f"(?<![^=/])[^=/]*?(?:{words})[^=/]*+"
+
+    def between(hits: Column) -> Column:
+        # One delimiter on each side belongs to the part that is taken.
+        starts = F.concat(F.array(F.lit(0)), F.transform(hits, lambda h: h["end"] + 1))
+        ends = F.concat(F.transform(hits, lambda h: h["start"] - 1), F.array(F.length(match["part"])))
+        gaps = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: g["b"] - g["a"] >= settings.window)
+        return F.transform(
+            gaps,
+            lambda g: F.struct(
+                (match["start"] + g["a"]).alias("start"),
+                (match["start"] + g["b"]).alias("end"),
+                F.substr(match["part"], g["a"] + 1, g["b"] - g["a"]).alias("part"),
+            ),
+        )
+
+    own = let(places(match["part"], taken, F.lit(True)), between)
+    return F.when(match["part"].rlike(words), own).otherwise(F.array(match))
+
+
 def entropy_spans(text: Column, settings: EntropySettings) -> Column:
     pattern = "[A-Za-z0-9+/_=-]{%d,}" % settings.window
-    found = F.filter(places(text, pattern, text.rlike(pattern)), lambda m: is_random(m["part"], settings))
+    runs = places(text, pattern, text.rlike(pattern))
+    if settings.by_part:
+        runs = F.flatten(F.transform(runs, lambda m: left_over(m, settings)))
+    found = F.filter(runs, lambda m: is_random(m["part"], settings))
     return F.transform(found, lambda m: span(m, "entropy"))
 
 

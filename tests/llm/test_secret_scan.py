@@ -84,3 +84,15 @@ def test_unreachable_limits_are_refused():
     with pytest.raises(ValueError):
         S.EntropySettings(rules=(S.EntropyRule("letters", "[A-Za-z]+", 9.0),))
     S.EntropySettings(window=16, rules=(S.EntropyRule("letters", "[A-Za-z]+", 4.0),))
+
+
+def test_allowed_words_do_not_hide_the_key_beside_them(spark, tmp_path):
+    from pagesift.llm.queries import QUERIES
+
+    key = "Zq8xV1kLm0pQ2rSt5VwYz7aB3dF6gH9jK4nP+u/W"
+    texts = [f"EXAMPLE_DB_CRED={key}", f"é svc/example/{key} x", f"{key}/your_key={key}==", f"{key}-example", "placeholder/" * 2000,
+             "a-long-path-of-words/example/and-another-path-of-words", f"key/{key}", "x9" * 20_000 + "=example"]
+    documents(spark, texts, 0).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in QUERIES["op3_secrets"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        "entropy:16:56", "entropy:14:54", "entropy:0:40,entropy:50:92", "entropy:0:38", "", "", "entropy:0:44", ""]
