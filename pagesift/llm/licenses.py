@@ -37,7 +37,9 @@ MISS = 1e-4
 #: Bytes of template text that one task holds; more templates are scanned for in several blocks.
 BLOCK_BYTES = 4 << 20
 
-#: Notices that the query looks for (fixed values: wordings of the licenses).
+#: Notices that the query looks for (fixed values: wordings of the licenses, their standard headers).
+#: What tells versions apart has eight words or fewer: then every shingle has to occur.
+#: Punctuation inside long notices is left out, as words are matched without it.
 NOTICES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
@@ -63,6 +65,323 @@ NOTICES = {
         "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
         "list of conditions and the following disclaimer."
     ),
+    "GNU-grant": "can redistribute it and or modify it under the terms of the GNU",
+    "GNU-warranty": (
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "GPL-terms": "terms of the GNU General Public License",
+    "LGPL-terms": "of the GNU Lesser General Public License",
+    "AGPL-terms": "of the GNU Affero General Public License",
+    "LGPL-library-terms": "of the GNU Library General Public License",
+    "GPL-2.0-version": "GNU General Public License version 2",
+    "GPL-2.0-v": "GNU General Public License v2",
+    "GPL-3.0-version": "GNU General Public License version 3",
+    "GPL-3.0-v": "GNU General Public License v3",
+    "LGPL-2.1-version": "GNU Lesser General Public License version 2.1",
+    "LGPL-2.1-v": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0-version": "GNU Lesser General Public License version 3",
+    "LGPL-3.0-v": "GNU Lesser General Public License v3",
+    "AGPL-3.0-version": "GNU Affero General Public License version 3",
+    "AGPL-3.0-v": "GNU Affero General Public License v3",
+    "GNU-version-2-or-later": "either version 2 of the License",
+    "GNU-version-2-only": "Free Software Foundation, version 2 of",
+    "GNU-version-2.1-or-later": "either version 2.1 of the License",
+    "GNU-version-2.1-only": "Free Software Foundation, version 2.1 of",
+    "GNU-version-3-or-later": "either version 3 of the License",
+    "GNU-version-3-only": "Free Software Foundation, version 3 of",
+    "GFDL-1.2": "GNU Free Documentation License, Version 1.2",
+    "GFDL-1.3": "GNU Free Documentation License, Version 1.3",
+    "CC-BY-4.0-url": "creativecommons.org/licenses/by/4.0/",
+    "CC-BY-3.0-url": "creativecommons.org/licenses/by/3.0/",
+    "CC-BY-2.0-url": "creativecommons.org/licenses/by/2.0/",
+    "CC-BY-SA-4.0-url": "creativecommons.org/licenses/by-sa/4.0/",
+    "CC-BY-SA-3.0-url": "creativecommons.org/licenses/by-sa/3.0/",
+    "CC-BY-SA-2.0-url": "creativecommons.org/licenses/by-sa/2.0/",
+    "CC-BY-NC-4.0-url": "creativecommons.org/licenses/by-nc/4.0/",
+    "CC-BY-NC-3.0-url": "creativecommons.org/licenses/by-nc/3.0/",
+    "CC-BY-NC-2.0-url": "creativecommons.org/licenses/by-nc/2.0/",
+    "CC-BY-ND-4.0-url": "creativecommons.org/licenses/by-nd/4.0/",
+    "CC-BY-ND-3.0-url": "creativecommons.org/licenses/by-nd/3.0/",
+    "CC-BY-ND-2.0-url": "creativecommons.org/licenses/by-nd/2.0/",
+    "CC-BY-NC-SA-4.0-url": "creativecommons.org/licenses/by-nc-sa/4.0/",
+    "CC-BY-NC-SA-3.0-url": "creativecommons.org/licenses/by-nc-sa/3.0/",
+    "CC-BY-NC-SA-2.0-url": "creativecommons.org/licenses/by-nc-sa/2.0/",
+    "CC-BY-NC-ND-4.0-url": "creativecommons.org/licenses/by-nc-nd/4.0/",
+    "CC-BY-NC-ND-3.0-url": "creativecommons.org/licenses/by-nc-nd/3.0/",
+    "CC-BY-NC-ND-2.0-url": "creativecommons.org/licenses/by-nc-nd/2.0/",
+    "GPL-2.0-kernel": (
+        "This software is licensed under the terms of the GNU General Public License version 2, as published by "
+        "the Free Software Foundation, and may be copied, distributed, and modified under those terms."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2 0. If a copy of the "
+        "MPL was not distributed with this file, You can obtain one at http mozilla org MPL 2 0/."
+    ),
+    "MPL-2.0-licensed": "Licensed under the Mozilla Public License, version 2 0.",
+    "MPL-2.0-released": "Released under the Mozilla Public License 2.0.",
+    "MPL-1.1-header": (
+        'The contents of this file are subject to the Mozilla Public License Version 1 1 the License"); you may '
+        'not use this file except in compliance with the License. You may obtain a copy of the License at http '
+        'www mozilla org MPL/'
+    ),
+    "ISC-0BSD-permission": (
+        "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all "
+        "copies."
+    ),
+    "ISC-disclaimer": (
+        'THE SOFTWARE IS PROVIDED AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        'INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE '
+        'FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM '
+        'LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, '
+        'ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+    ),
+    "ISC-licensed": "This software is licensed under the ISC License.",
+    "ISC-released": "Released under the terms of the ISC License.",
+    "EPL-1.0-header": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of "
+        "the Eclipse Public License v1 0 which accompanies this distribution, and is available at http www "
+        "eclipse org legal epl v10 html"
+    ),
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2 0 which is available at https www eclipse org legal epl 2 0/"
+    ),
+    "EPL-2.0-licensed": "Licensed under the Eclipse Public License, version 2 0.",
+    "CDDL-1.0-header": (
+        'The contents of this file are subject to the terms of the Common Development and Distribution License '
+        'the License"). You may not use this file except in compliance with the License.'
+    ),
+    "EUPL-1.2-header": (
+        'Licensed under the EUPL, Version 1 2 or - as soon they will be approved by the European Commission - '
+        'subsequent versions of the EUPL the Licence"); You may not use this work except in compliance with the '
+        'Licence.'
+    ),
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        'LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN '
+        'NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, '
+        'WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE '
+        'SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    ),
+    "MIT-licensed": "This project is licensed under the MIT License.",
+    "MIT-terms": "This software is distributed under the terms of the MIT license.",
+    "MIT-use": (
+        "Use of this source code is governed by an MIT style license that can be found in the LICENSE file."
+    ),
+    "Apache-2.0-project": "This project is licensed under the Apache License 2 0.",
+    "Apache-2.0-released": "Released under the Apache License, Version 2.0.",
+    "Apache-2.0-ASF": (
+        'Licensed to the Apache Software Foundation ASF) under one or more contributor license agreements. See '
+        'the NOTICE file distributed with this work for additional information regarding copyright ownership. '
+        'The ASF licenses this file to You under the Apache License, Version 2 0 the License"); you may not use '
+        'this file except in compliance with the License.'
+    ),
+    "BSD-binary": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause-endorse": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."
+    ),
+    "BSD-4-Clause-advertising": (
+        "All advertising materials mentioning features or use of this software must display the following "
+        "acknowledgement: This product includes software developed by"
+    ),
+    "BSD-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS" AND ANY EXPRESS OR IMPLIED '
+        'WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        'PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR '
+        'ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES INCLUDING, BUT NOT '
+        'LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS '
+        'INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR '
+        'TORT INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF '
+        'ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    ),
+    "BSD-style": (
+        "Use of this source code is governed by a BSD style license that can be found in the LICENSE file."
+    ),
+    "BSD-2-Clause-licensed": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-licensed": "Licensed under the BSD 3-Clause License.",
+    "Zlib-permission": (
+        "This software is provided as is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software. Permission is granted to anyone "
+        "to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:"
+    ),
+    "BSL-1.0-header": (
+        "Distributed under the Boost Software License, Version 1 0. See accompanying file LICENSE 1 0 txt or "
+        "copy at http www boost org LICENSE 1 0 txt)"
+    ),
+    "BSL-1.0-permission": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the '
+        'software and accompanying documentation covered by this license the Software") to use, reproduce, '
+        'display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+        'Software, and to permit third parties to whom the Software is furnished to do so.'
+    ),
+    "Unlicense-notice": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non commercial, and by any means."
+    ),
+    "WTFPL-terms": (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and "
+        "changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE "
+        "TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"
+    ),
+    "Artistic-2.0-licensed": "This is free software, licensed under the Artistic License 2 0.",
+    "Perl-terms": (
+        "This is free software; you can redistribute it and or modify it under the same terms as the Perl 5 "
+        "programming language system itself."
+    ),
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author s) have dedicated all copyright and related and "
+        "neighboring rights to this software to the public domain worldwide. This software is distributed "
+        "without any warranty."
+    ),
+    "CC0-1.0-waived": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright "
+        "and related or neighboring rights to this work."
+    ),
+    "CC0-1.0-licensed": "This work is marked with CC0 1 0 Universal.",
+    "CC0-1.0-released": "Released under the CC0 1 0 Universal Public Domain Dedication.",
+    "public-domain": "This work has been released into the public domain by its author.",
+    "OFL-1.1-header": "This Font Software is licensed under the SIL Open Font License, Version 1 1.",
+    "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4 0 International License.",
+    "CC-BY-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution 4 0 International License."
+    ),
+    "CC-BY-4.0-terms": "Available under the terms of the Creative Commons Attribution 4 0 license.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-3.0-work": "This work is licensed under a Creative Commons Attribution 3 0 Unported License.",
+    "CC-BY-3.0-the": "This work is licensed under the Creative Commons Attribution 3 0 Unported License.",
+    "CC-BY-3.0-terms": "Available under the terms of the Creative Commons Attribution 3 0 license.",
+    "CC-BY-3.0-short": "Licensed under CC BY 3.0.",
+    "CC-BY-SA-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4 0 International License."
+    ),
+    "CC-BY-SA-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution ShareAlike 4 0 International License."
+    ),
+    "CC-BY-SA-4.0-terms": "Available under the terms of the Creative Commons Attribution ShareAlike 4 0 license.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-3.0-work": (
+        "This work is licensed under a Creative Commons Attribution ShareAlike 3 0 Unported License."
+    ),
+    "CC-BY-SA-3.0-the": (
+        "This work is licensed under the Creative Commons Attribution ShareAlike 3 0 Unported License."
+    ),
+    "CC-BY-SA-3.0-terms": "Available under the terms of the Creative Commons Attribution ShareAlike 3 0 license.",
+    "CC-BY-SA-3.0-short": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-NC-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4 0 International License."
+    ),
+    "CC-BY-NC-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial 4 0 International License."
+    ),
+    "CC-BY-NC-4.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial 4 0 license."
+    ),
+    "CC-BY-NC-3.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial 3 0 Unported License."
+    ),
+    "CC-BY-NC-3.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial 3 0 Unported License."
+    ),
+    "CC-BY-NC-3.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial 3 0 license."
+    ),
+    "CC-BY-NC-3.0-short": "Licensed under CC BY-NC 3.0.",
+    "CC-BY-ND-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution NoDerivatives 4 0 International License."
+    ),
+    "CC-BY-ND-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution NoDerivatives 4 0 International License."
+    ),
+    "CC-BY-ND-4.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NoDerivatives 4 0 license."
+    ),
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-3.0-work": (
+        "This work is licensed under a Creative Commons Attribution NoDerivatives 3 0 Unported License."
+    ),
+    "CC-BY-ND-3.0-the": (
+        "This work is licensed under the Creative Commons Attribution NoDerivatives 3 0 Unported License."
+    ),
+    "CC-BY-ND-3.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NoDerivatives 3 0 license."
+    ),
+    "CC-BY-ND-3.0-short": "Licensed under CC BY-ND 3.0.",
+    "CC-BY-NC-SA-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4 0 International "
+        "License."
+    ),
+    "CC-BY-NC-SA-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial ShareAlike 4 0 International "
+        "License."
+    ),
+    "CC-BY-NC-SA-4.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial ShareAlike 4 0 license."
+    ),
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-3.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 3 0 Unported "
+        "License."
+    ),
+    "CC-BY-NC-SA-3.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial ShareAlike 3 0 Unported "
+        "License."
+    ),
+    "CC-BY-NC-SA-3.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial ShareAlike 3 0 license."
+    ),
+    "CC-BY-NC-SA-3.0-short": "Licensed under CC BY-NC-SA 3.0.",
+    "CC-BY-NC-ND-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4 0 "
+        "International License."
+    ),
+    "CC-BY-NC-ND-4.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial NoDerivatives 4 0 "
+        "International License."
+    ),
+    "CC-BY-NC-ND-4.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial NoDerivatives 4 0 license."
+    ),
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-3.0-work": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 3 0 Unported "
+        "License."
+    ),
+    "CC-BY-NC-ND-3.0-the": (
+        "This work is licensed under the Creative Commons Attribution NonCommercial NoDerivatives 3 0 Unported "
+        "License."
+    ),
+    "CC-BY-NC-ND-3.0-terms": (
+        "Available under the terms of the Creative Commons Attribution NonCommercial NoDerivatives 3 0 license."
+    ),
+    "CC-BY-NC-ND-3.0-short": "Licensed under CC BY-NC-ND 3.0.",
+    "GPL-2.0-only-SPDX": "SPDX-License-Identifier: GPL-2.0-only",
+    "GPL-2.0-or-later-SPDX": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "GPL-3.0-only-SPDX": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-3.0-or-later-SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "LGPL-2.1-only-SPDX": "SPDX-License-Identifier: LGPL-2.1-only",
+    "LGPL-2.1-or-later-SPDX": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "LGPL-3.0-only-SPDX": "SPDX-License-Identifier: LGPL-3.0-only",
+    "LGPL-3.0-or-later-SPDX": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "AGPL-3.0-only-SPDX": "SPDX-License-Identifier: AGPL-3.0-only",
+    "AGPL-3.0-or-later-SPDX": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "MPL-2.0-SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "EPL-2.0-SPDX": "SPDX-License-Identifier: EPL-2.0",
+    "BSL-1.0-SPDX": "SPDX-License-Identifier: BSL-1.0",
+    "BSD-2-Clause-SPDX": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause-SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "CC0-1.0-SPDX": "SPDX-License-Identifier: CC0-1.0",
+    "CC-BY-4.0-SPDX": "SPDX-License-Identifier: CC-BY-4.0",
+    "CC-BY-SA-4.0-SPDX": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "Artistic-2.0-SPDX": "SPDX-License-Identifier: Artistic-2.0",
 }
 
 

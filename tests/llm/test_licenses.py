@@ -65,3 +65,24 @@ def test_awkward_rows(spark):
     assert got == [(3, "a", 0, 15, 1.0), (3, "a", 0, 15, 1.0), (5, "d", 2, 6, 1.0), (7, "a", 0, 13, 1.0), (7, "a", 14, 27, 1.0)]
     assert rows(L.license_matches(docs, templates, block_bytes=8)) == rows(L.license_matches(docs, templates))
     assert L.license_matches(docs.limit(0), templates).isEmpty() and L.license_matches(docs, templates.limit(0)).isEmpty()
+
+
+def test_common_licenses_are_found_with_their_version():
+    matcher = L.Matcher(list(L.NOTICES.items()))
+    grant = "you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; {} of the License, or any later version."
+    cases = {
+        grant.format("Lesser General", "either version 2.1"): {"GNU-grant", "LGPL-terms", "GNU-version-2.1-or-later"},
+        grant.format("General", "either version 2"): {"GNU-grant", "GPL-terms", "GNU-version-2-or-later"},
+        grant.format("Affero General", "either version 3"): {"GNU-grant", "AGPL-terms", "GNU-version-3-or-later"},
+        "code is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/.": {"MPL-2.0-header"},
+        L.NOTICES["ISC-0BSD-permission"]: {"ISC-0BSD-permission"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0-work"},
+        "see https://creativecommons.org/licenses/by/4.0/ for it": {"CC-BY-4.0-url"},
+        L.NOTICES["Unlicense-notice"]: {"Unlicense-notice"},
+        L.NOTICES["EPL-2.0-header"]: {"EPL-2.0-header"},
+        "Released under the GNU General Public License, version 2.": {"GPL-2.0-version"},
+    }
+    for text, names in cases.items():
+        assert {matcher.names[f[0]] for f in matcher.scan(text)} == names, text
+    assert {matcher.names[f[0]] for f in matcher.scan(L.NOTICES["GPL-3.0"])} == {"GPL-3.0", "GPL-3.0-version"}
