@@ -18,6 +18,7 @@ from pagesift.llm import (
     simhash,
     token_counts,
     warc,
+    whitening,
 )
 from pagesift.llm.common import bounded_batches, table
 from pagesift.sources.scratch import cut
@@ -121,3 +122,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
