@@ -13,6 +13,7 @@ from pagesift.llm import (
     exact_dedup,
     language,
     licenses,
+    merkle,
     pieces,
     secret_scan,
     simhash,
@@ -124,6 +125,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_merkle", merkle.ORACLE)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_rows(table(spark, sf_dir, "documents"))
+
+
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
