@@ -14,6 +14,7 @@ from pagesift.llm import (
     language,
     licenses,
     merkle,
+    mixing,
     pieces,
     secret_scan,
     simhash,
@@ -125,6 +126,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_mixing", mixing.ORACLE)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle", merkle.ORACLE)
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_rows(table(spark, sf_dir, "documents"))
