@@ -184,7 +184,8 @@ def descend(forest: Forest, above: DataFrame) -> DataFrame:
         ends = F.col("height") <= LEVELS * (k + 1)
         tops = stage.filter(ends).join(above, "tree")
         if paths is not None:
-            tops = tops.unionByName(stage.filter(~ends).join(paths, ["tree", "block"]))
+            # A path is long and compresses well: the size of its file would have it broadcast.
+            tops = tops.unionByName(stage.filter(~ends).join(paths.hint("merge"), ["tree", "block"]))
         if k == 0:
             return tops
         each = tops.select("tree", "levels", "path", *extra, F.posexplode("members").alias("i", "member"))
