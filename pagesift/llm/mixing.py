@@ -274,8 +274,9 @@ def pieces(made: Plan, texts: bool = False) -> DataFrame:
 def mixture(made: Plan, texts: bool = False) -> DataFrame:
     """The mix: ``shard, slot, nth`` (order of the words), ``no`` (source), ``pass, doc_id, start``, ``first_word, n_words``
     (of the document) and, if asked, ``text``.  The plan must hold texts then."""
-    drawn = slots(made).join(made.draws, ["no", "draw"])
-    found = drawn.join(pieces(made, texts), ["no", "block"])
+    # Numbers compress well: the size of a file of draws says little about what a broadcast of it would take.
+    drawn = slots(made).hint("merge").join(made.draws, ["no", "draw"])
+    found = drawn.hint("merge").join(pieces(made, texts), ["no", "block"])
     origin = F.col("block") * made.settings.block_words
     last = F.least(F.col("last"), origin + F.col("take"))
     found = found.filter(last > F.col("first"))
@@ -308,7 +309,7 @@ def mix_report(docs: DataFrame, settings: Settings | None = None, id_col="doc_id
     and taken by the mix, repeats counted.  Awkward rows are treated as by ``mix_texts``."""
     made = plan(docs, settings or Settings(), id_col, source_col, text_col)
     taken = mixture(made).groupBy("no", "start").agg(F.sum("n_words").alias("taken"))
-    some = made.placed.filter("size > 0").join(taken, ["no", "start"], "left")
+    some = made.placed.filter("size > 0").join(taken.hint("merge"), ["no", "start"], "left")
     none = made.placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")]
     return some.select(*columns).unionByName(none.select(*columns))
