@@ -27,3 +27,21 @@ def computed(*columns: Column) -> Column:
     filters do not pass.
     """
     return F.inline(F.array(F.struct(*columns)))
+
+
+#: Elements of an array that a fold collects at once.
+CHUNK = 256
+
+
+def chunks(values: Column, size: int = CHUNK) -> Column:
+    """``values`` in arrays of ``size``.
+
+    A fold that appends to an array copies it at every step, which grows with the
+    square of the array's length; over chunks, it grows with the chunk's.
+    """
+
+    def cut(all_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(size)), lambda at: at <= F.size(all_))
+        return F.transform(starts, lambda at: F.slice(all_, at, size))
+
+    return let(values, cut)

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesift.functions.binding import let
+
 _SIMPLE = re.compile(r"""\[\s*([\w-]+)\s*(?:=\s*['"]?([^'"\]]*)['"]?\s*)?\]|([#.])((?:\\.|[\w-])+)|(\*|[\w-]+)""")
 
 
@@ -101,28 +103,31 @@ def selector_steps(css: Column) -> Column:
     ``comb`` tells how a step relates to the one before it: ``>`` child, a
     space for descendant, ``,`` for the start of an alternative.
     """
-    tokens = F.regexp_extract_all(F.trim(css), F.lit(r"\s*[>,]\s*|\s+|(?:\\.|[^\s>,\\])+"), F.lit(0))
+    # Possessive repeats (``++``) loop; a plain repeat of a group recurses once per character.
+    found = F.regexp_extract_all(F.trim(css), F.lit(r"\s*+[>,]\s*+|\s++|(?:\\.|[^\s>,\\])++"), F.lit(0))
 
-    def step(token: Column, i: Column) -> Column:
+    def step(tokens: Column, token: Column, i: Column) -> Column:
         link = F.trim(F.get(tokens, i - 1))
-        marks = F.regexp_extract_all(token, F.lit(r"[.#](?:\\.|[^.#\\\[])+"), F.lit(0))
 
-        def names(mark: str) -> Column:
-            return F.transform(
-                F.filter(marks, lambda m: m.startswith(mark)),
-                lambda m: F.regexp_replace(F.regexp_replace(m, r"^.", ""), r"\\(.)", "$1"),
+        def built(marks: Column) -> Column:
+            def names(mark: str) -> Column:
+                return F.transform(
+                    F.filter(marks, lambda m: m.startswith(mark)),
+                    lambda m: F.regexp_replace(F.regexp_replace(m, r"^.", ""), r"\\(.)", "$1"),
+                )
+
+            return F.struct(
+                F.when(i == 0, F.lit(",")).when(link == "", F.lit(" ")).otherwise(link).alias("comb"),
+                F.lower(F.regexp_extract(token, r"^[A-Za-z][A-Za-z0-9-]*", 0)).alias("tag"),
+                F.get(names("#"), 0).alias("id"),
+                names(".").alias("classes"),
             )
 
-        return F.struct(
-            F.when(i == 0, F.lit(",")).when(link == "", F.lit(" ")).otherwise(link).alias("comb"),
-            F.lower(F.regexp_extract(token, r"^[A-Za-z][A-Za-z0-9-]*", 0)).alias("tag"),
-            F.get(names("#"), 0).alias("id"),
-            names(".").alias("classes"),
-        )
+        return let(F.regexp_extract_all(token, F.lit(r"[.#](?:\\.|[^.#\\\[])++"), F.lit(0)), built)
 
     # Compounds and combinators alternate, so every second token is a step.
     return F.filter(
-        F.transform(tokens, lambda t, i: F.when(i % 2 == 0, step(t, i))),
+        let(found, lambda tokens: F.transform(tokens, lambda t, i: F.when(i % 2 == 0, step(tokens, t, i)))),
         lambda s: s.isNotNull(),
     )
 

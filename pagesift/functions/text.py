@@ -19,11 +19,14 @@ PAGER_WORDS = [
     ">", "<", "»", "«",
 ]
 
+#: Unicode white space, as in ``(?U)\\s``.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _PARKED = "￿"  # a noncharacter
 
 
 def trim_ws(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(WHITE_SPACE))
 
 
 def is_blank(x: Column) -> Column:

@@ -1,6 +1,11 @@
 """URL functions: plain ``Column`` expressions following RFC 3986.
 
 Percent escapes are written with upper-case hex digits.
+
+URLs are page data and can be megabytes long, as inline images are.  Regular
+expressions here are anchored or find single characters: none repeats a group
+(which recurses once per character) and none looks for the end of the text from
+every position.
 """
 
 from __future__ import annotations
@@ -8,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.binding import let
+from pagesift.functions.binding import chunks, let
 from pagesift.functions.text import has_any_word, is_blank, trim_ws
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _LEGAL = r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;="
+#: Those of them that ``url_encode`` encodes.
+_LEGAL_MARKS = "~:/?#[]@!$&'()+,;="
 
 
 def url_escape(x: Column) -> Column:
@@ -45,25 +52,58 @@ def is_absolute(url: Column) -> Column:
 
 
 def _escape_illegal(x: Column) -> Column:
-    """Percent-encode characters a URL may not hold; valid escapes stay."""
-    parts = F.regexp_extract_all(x, F.lit(rf"(?s)(?:[{_LEGAL}]|%[0-9A-Fa-f]{{2}})+|."), F.lit(0))
-    escaped = F.transform(parts, lambda p: F.when(p.rlike(rf"^[{_LEGAL}%]+$") & (p != "%"), p).otherwise(url_escape(p)))
-    dirty = x.rlike(rf"[^{_LEGAL}%]|%(?![0-9A-Fa-f]{{2}})")
-    return F.when(dirty, F.array_join(escaped, "")).otherwise(x)
+    """Percent-encode characters a URL may not hold; valid escapes stay.
+
+    All characters are encoded, then those that may stay are put back: each step
+    replaces one fixed text, and no step makes a text that another one looks for.
+    """
+    out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    for char in _LEGAL_MARKS:
+        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
+    out = F.regexp_replace(out, r"%25([0-9A-Fa-f][0-9A-Fa-f])", "%$1")
+    dirty = x.rlike(rf"[^{_LEGAL}%]|%(?![0-9A-Fa-f][0-9A-Fa-f])")
+    return F.when(dirty, out).otherwise(x)
 
 
 def _remove_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments."""
-    kept = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
-        .otherwise(F.array_append(acc, s)),
-    )
+    """Resolve ``.`` and ``..`` segments; the first segment, before the first slash, is never removed."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != ".")
+
+    def net(part: Column) -> Column:
+        """What a part of the path does: how many segments before it go, and which of its own stay."""
+        none = F.struct(F.lit(0).alias("up"), F.array().cast("array<string>").alias("kept"))
+
+        def step(acc: Column, s: Column) -> Column:
+            own = F.size(acc["kept"])
+            dropped = F.struct(
+                (acc["up"] + F.when(own == 0, 1).otherwise(0)).alias("up"),
+                F.slice(acc["kept"], F.lit(1), F.greatest(own - 1, F.lit(0))).alias("kept"),
+            )
+            kept = F.struct(acc["up"].alias("up"), F.array_append(acc["kept"], s).alias("kept"))
+            return F.when(s == "..", dropped).otherwise(kept)
+
+        return F.aggregate(part, none, step)
+
+    def resolved(found: Column) -> Column:
+        # From the end: each part loses as many segments as the parts behind it go up.
+        none = F.struct(F.lit(0).alias("up"), F.array().cast("array<array<string>>").alias("parts"))
+
+        def step(acc: Column, part: Column) -> Column:
+            own = F.size(part["kept"])
+            left = F.slice(part["kept"], F.lit(1), F.greatest(own - acc["up"], F.lit(0)))
+            return F.struct(
+                (part["up"] + F.greatest(acc["up"] - own, F.lit(0))).alias("up"), F.array_append(acc["parts"], left).alias("parts")
+            )
+
+        return F.aggregate(F.reverse(found), none, step, lambda acc: F.flatten(F.reverse(acc["parts"])))
+
+    def whole(all_: Column) -> Column:
+        rest = chunks(F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0))))
+        return F.array_join(F.concat(F.slice(all_, 1, 1), let(F.transform(rest, net), resolved)), "/")
+
     tail = F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
     has_dots = path.rlike(r"(^|/)\.\.?(/|$)")
-    return F.when(has_dots, F.concat(F.array_join(kept, "/"), tail)).otherwise(path)
+    return F.when(has_dots, F.concat(let(segments, whole), tail)).otherwise(path)
 
 
 # scheme ":" [ "//" authority ] path rest
@@ -127,15 +167,20 @@ def search_template(site_url: Column, action: Column, input_name: Column) -> Col
     )
 
 
+def _segments(path: Column) -> Column:
+    """Segments between slashes; empty ones do not count."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
 def url_slug(url: Column) -> Column:
     """Last path segment of an absolute URL with ``-`` and ``_`` as spaces, else empty."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)", 1)
-    slug = F.regexp_extract(path, r"([^/]*)/*$", 1)
-    return let(slug, lambda s: F.when(is_blank(s), F.lit("")).otherwise(F.translate(s, "-_", "  ")))
+    slug = let(_segments(path), lambda parts: F.get(parts, F.size(parts) - 1))
+    plain = let(slug, lambda s: F.when(is_blank(s), F.lit("")).otherwise(F.translate(s, "-_", "  ")))
+    return F.when(url.isNotNull(), plain)
 
 
 def is_result_href(href: Column, skip_words: list[str]) -> Column:
     """False for a blank href, or when the second-to-last ``/`` segment holds a listing word."""
-    # Empty segments do not count: one or more slashes separate, trailing ones are ignored.
-    parent = F.regexp_extract(href, r"([^/]+)/+[^/]+/*$", 1)
+    parent = let(_segments(href), lambda parts: F.get(parts, F.size(parts) - 2))
     return ~is_blank(href) & ~has_any_word(parent, skip_words)

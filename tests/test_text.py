@@ -1,6 +1,10 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagesift.functions import text, urls
+from pagesift.functions.css import selector_steps
 
 
 def column(spark, fn, *values, kind="string"):
@@ -104,3 +108,84 @@ def test_two_ways_to_fill_a_template(spark):
     ).first()
     assert row.uri == "u?q=a%20b~%2A%28%C3%A9%29%21"
     assert row.form == "u?q=a+b%7E*(%C3%A9)!"
+
+
+def plain_dots(path):
+    """RFC 3986, 5.2.4, for a path that begins with a slash."""
+    out = []
+    parts = path.split("/")[1:]
+    for i, s in enumerate(parts):
+        if s == "..":
+            out = out[:-1]
+        elif s != ".":
+            out.append(s)
+        if s in (".", "..") and i == len(parts) - 1:
+            out.append("")
+    return "/" + "/".join(out)
+
+
+def test_dot_segments(spark):
+    import random
+
+    rng = random.Random(7)
+    paths = ["/" + "/".join(rng.choice(["a", "b", "..", ".", "", "..."]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    paths += ["/" + "/".join(rng.choice(["a", "..", "b"]) for _ in range(2000)) for _ in range(3)]
+    got = column(spark, lambda x: urls.abs_url(F.lit("https://x.org"), F.concat(F.lit("https://x.org"), x)), *paths)
+    assert got == ["https://x.org" + plain_dots(p) for p in paths]
+
+
+def test_escapes(spark):
+    from urllib.parse import quote
+
+    legal = "-._~:/?#[]@!$&'()*+,;="
+    texts = ["%41%zz%", "%", "%%41", "%2541", "a%é%4", "".join(map(chr, range(32, 127))), "é\U0001f600 \t x", "%25%2525", "+%2B ~%7E"]
+
+    def want(t):
+        parts = re.split("(%[0-9A-Fa-f]{2})", t)
+        return "".join(p if i % 2 else quote(p, safe=legal) for i, p in enumerate(parts))
+
+    got = column(spark, lambda x: urls.abs_url(F.lit("https://x.org"), F.concat(F.lit("https://x.org/-"), x, F.lit("-"))), *texts)
+    assert got == ["https://x.org/-" + want(t) + "-" for t in texts]
+
+
+MB = 1 << 20
+LONG = {
+    "legal": "a" * MB,
+    "illegal": "<" * MB,
+    "mixed": "<a b='é'>%41%" * (MB // 13),
+    "blank": "x" + " " * MB + "x",
+    "only blank": "\u3000" * (MB // 3),
+    "slashes": "/" * MB,
+    "segments": "a/" * (MB // 2),
+    "dots": "./a/../" * (MB // 7) + "b",
+    "up": "a/" * (MB // 4) + "../" * (MB // 6),
+    "escapes": "\\:" * (MB // 2),
+    "svg": "data:image/svg+xml;utf8,<svg xmlns='http://www.w3.org/2000/svg'>" + "<path d='M0 0 L1 1'/>" * (MB // 21) + "</svg>",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_linear_time(spark, name):
+    """A megabyte of anything, in each function, within seconds: no recursion, no search from every position."""
+    import time
+
+    base = F.lit("https://x.org/a/b")
+    functions = {
+        "abs_url": lambda x: urls.abs_url(base, x),
+        "as base": lambda x: urls.abs_url(F.concat(F.lit("https://x.org/"), x), F.lit("c?d")),
+        "template": lambda x: urls.search_template(base, x, F.lit("q")),
+        "slug": lambda x: urls.url_slug(F.concat(F.lit("https://x.org/"), x)),
+        "href": lambda x: urls.is_result_href(x, ["page"]).cast("string"),
+        "trim": text.trim_ws,
+        "blank": lambda x: text.is_blank(x).cast("string"),
+        "title": text.clean_title,
+        "normal": text.normalise_string,
+        "steps": lambda x: F.size(selector_steps(x)).cast("string"),
+    }
+    frame = spark.createDataFrame([(LONG[name],)], "x string").cache()
+    frame.count()
+    for label, fn in functions.items():
+        fn_of = frame.select(F.length(F.coalesce(fn(F.col("x")), F.lit(""))).alias("n"))
+        start = time.time()
+        fn_of.collect()
+        assert time.time() - start < 10, label
