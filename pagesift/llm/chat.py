@@ -201,7 +201,13 @@ def read_back(formatted: DataFrame, template: Template = LLAMA_LIKE) -> DataFram
     )
 
 
-ORACLE = r"""
+def _oracle(template: Template) -> str:
+    moves = " ".join(f"when s = '{state}' and r = '{role}' then '{to}'" for (state, role), to in template.moves.items())
+    final = ", ".join(f"'{state}'" for state in template.final)
+    return _SQL.replace("$MOVES", moves).replace("$FIRST", template.first).replace("$FINAL", final)
+
+
+_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -209,10 +215,18 @@ e as (
   select *, regexp_replace(regexp_replace(text, '(<)(\\*(?:/?s>|</?(?:SYS|ROLE|TURN)>>))', '\1\\\2', 'g'),
                            '(\[)(\\*/?INST\])', '\1\\\2', 'g') as safe,
          case role when 'system' then 15 when 'user' then 13 when 'assistant' then 7 else 26 + length(role) end as marks
-  from c)
+  from c),
+-- Roles fold to the state they end in; a role without a move is an error for good.
+m as (
+  select conv_id, list_reduce(list(role order by turn nulls first, role, text),
+           lambda s, r: case $MOVES else 'error' end, '$FIRST') as state
+  from c group by conv_id)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       cast(sum(length(safe) + marks) as bigint) as formatted_chars
-from e group by conv_id"""
+       cast(sum(length(safe) + marks) as bigint) as formatted_chars,
+       any_value(state) <> 'error' as valid, any_value(state) in ($FINAL) as complete
+from e join m using (conv_id) group by conv_id"""
+
+ORACLE = _oracle(LLAMA_LIKE)

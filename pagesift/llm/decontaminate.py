@@ -233,9 +233,20 @@ m as (select doc_id, p, k, item_id from g join win using (k, win)),
 h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from m) group by doc_id),
 t as (
   select doc_id, count(*) as n_items, sha256(string_agg(s, ',' order by s)) as items_sha256
-  from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id)
+  from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id),
+-- Runs of hit words, and where they lie in the original text: the lengths of the gaps and words before them.
+o as (select doc_id, q, q - row_number() over (partition by doc_id order by q) as run
+      from (select distinct doc_id, unnest(range(p, p + k)) as q from m)),
+u as (select doc_id, min(q) as a, max(q) as b from o group by doc_id, run),
+x as (select doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: length(y)) as ws,
+             list_transform(string_split_regex(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: length(y)) as gs
+      from (select doc_id, regexp_replace(text, '[A-Z]', 'a', 'g') as text from documents) where doc_id in (select doc_id from u)),
+v as (select doc_id, string_agg(start || ':' || stop, ',' order by start) as spans from (
+        select doc_id, (list_sum(gs[1:a]) + coalesce(list_sum(ws[1:a - 1]), 0))::bigint as start,
+               (list_sum(gs[1:b]) + list_sum(ws[1:b]))::bigint as stop from u join x using (doc_id)) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from w left join h using (doc_id) left join t using (doc_id)"""
+       coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+       coalesce(spans, '') as spans
+from w left join h using (doc_id) left join t using (doc_id) left join v using (doc_id)"""
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import column, whole
+from pagesift.llm.common import column, fresh, whole
 from pagesift.sources.scratch import cut
 
 #: White space that does not count (fixed value of the contract).
@@ -82,15 +82,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The decision is joined on (id, digest of the text), which has no hot value:
     equal texts differ in their ids and equal rows are few per id.
     """
-    id_key, sha_key = "__row_id", "__row_sha"
+    id_key, sha_key, n_key = (fresh(docs, name) for name in ("__row_id", "__row_sha", "__n"))
     stay = exact_duplicates(docs, id_col, text_col).filter("kept")
-    keys = stay.select(row_key(F.col("doc_id")).alias(id_key), F.col("text_sha256").alias(sha_key), F.col("n_points").alias("__n"))
+    keys = stay.select(row_key(F.col("doc_id")).alias(id_key), F.col("text_sha256").alias(sha_key), F.col("n_points").alias(n_key))
     keyed = docs.withColumns({
         id_key: row_key(column(id_col)),
         sha_key: F.sha2(normalised(whole(text_col)), 256),
-        "__n": F.length(whole(text_col)).cast("long"),
+        n_key: F.length(whole(text_col)).cast("long"),
     })
-    once = keyed.join(keys.distinct(), [id_key, sha_key, "__n"], "left_semi").dropDuplicates([id_key, sha_key, "__n"])
+    once = keyed.join(keys.distinct(), [id_key, sha_key, n_key], "left_semi").dropDuplicates([id_key, sha_key, n_key])
     return once.select(*[column(c) for c in docs.columns])
 
 

@@ -58,7 +58,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_secrets", secret_scan.oracle())
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_report(table(spark, sf_dir, "documents"), settings=secret_scan.EntropySettings(by_part=True))
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
 @query("op4_chat", chat.ORACLE)
@@ -75,6 +75,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "complete",
     )
 
 
@@ -112,7 +114,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", F.coalesce(spans, F.lit("")).alias("spans")
+    )
 
 
 @query("op10_pieces")

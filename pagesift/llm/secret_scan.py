@@ -15,6 +15,7 @@ so sums are exact integers and do not depend on the order of steps.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -51,9 +52,12 @@ class EntropyRule:
 class EntropySettings:
     """The first rule whose class holds all characters of a candidate decides on it.
 
-    A candidate that matches an ``allowed`` pattern is not reported.  With
-    ``by_part``, an unanchored pattern takes only the parts between ``=`` and ``/``
-    that it matches in; what is left on either side is a candidate of its own.
+    A candidate that matches an ``allowed`` pattern is not reported.  An unanchored
+    pattern takes only the parts between ``=`` and ``/`` that it matches in (it has
+    neither of them itself); what is left on either side is a candidate of its own.
+    A pattern may repeat a group only possessively (``(...)*+``): the JVM runs other
+    repeats of groups recursively, once for each repetition, and a long candidate
+    ends the executor.
     """
 
     window: int = 20
@@ -68,10 +72,9 @@ class EntropySettings:
             r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
             r"(?i)example|placeholder|your[_-]?(key|token|secret)",
             r"(?i)abcdefghijklm|0123456789abcdef",
-            r"^[a-z]+([-_/=+][a-z]+)*$",
+            r"^[a-z]++(?:[-_/=+][a-z]++)*+$",
         )
     )
-    by_part: bool = False
 
     def __post_init__(self) -> None:
         if not 2 <= self.window < 127:
@@ -79,6 +82,9 @@ class EntropySettings:
         for rule in self.rules:
             if self.most(rule) < 0:
                 raise ValueError(f"no window of {self.window} characters has {rule.bits} bits: class {rule.name} would never be measured")
+        for pattern in (*self.allowed, *(rule.only for rule in self.rules)):
+            if re.search(r"(?<!\\)\)(?:[*+]|\{\d*,?\d*\})(?!\+)", pattern):
+                raise ValueError(f"{pattern} repeats a group, but not possessively")
 
     def most(self, rule: EntropyRule) -> int:
         """Largest sum of c log2 c, in millionths, whose entropy is ``rule.bits`` or more."""
@@ -220,9 +226,7 @@ def left_over(match: Column, settings: EntropySettings) -> Column:
 
 def entropy_spans(text: Column, settings: EntropySettings) -> Column:
     pattern = "[A-Za-z0-9+/_=-]{%d,}" % settings.window
-    runs = places(text, pattern, text.rlike(pattern))
-    if settings.by_part:
-        runs = F.flatten(F.transform(runs, lambda m: left_over(m, settings)))
+    runs = F.flatten(F.transform(places(text, pattern, text.rlike(pattern)), lambda m: left_over(m, settings)))
     found = F.filter(runs, lambda m: is_random(m["part"], settings))
     return F.transform(found, lambda m: span(m, "entropy"))
 
@@ -286,7 +290,11 @@ def oracle(settings: EntropySettings | None = None) -> str:
                   from d where regexp_matches(t, '{pattern}'))"""
 
     limit = " ".join(f"when regexp_matches(c, '^{r.only}$') then {rules.most(r)}" for r in rules.rules)
-    allowed = " or ".join(f"regexp_matches(c, '{p}')" for p in rules.allowed)
+    # The engine of the SQL never recurses and knows no possessive repeats.
+    plain = [re.sub(r"([*+?}])\+", r"\1", p) for p in rules.allowed]
+    allowed = " or ".join(f"regexp_matches(c, '{p}')" for p in plain)
+    words = "|".join(f"(?:{p})" for p in plain if not p.startswith("^"))
+    taken = f"regexp_matches(ps[k], '{words}')" if words else "false"
     run = "[A-Za-z0-9+/_=-]{%d,}" % n
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -294,7 +302,17 @@ base as (
   {found(0, assign, f"length(regexp_extract(s.part, '{assign}', 2)) >= 8")}
   union all {found(1, "AKIA[A-Z0-9]+", "length(s.part) >= 16")}
   union all {found(2, "[0-9a-f]{32,}", "true")}),
-candidates as ({found(3, run, "true")}),
+wholes as ({found(3, run, "true")}),
+-- Parts between = and /; neighbours that no allowed word takes make one candidate.
+parts as (
+  select doc_id, rank, s, k, {taken} as taken, length(ps[k]) as size,
+         coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: length(x) + 1)), 0) as place
+  from (select *, unnest(range(1, len(ps) + 1)) as k from (select *, string_split_regex(s.part, '[=/]') as ps from wholes))),
+islands as (select *, count(*) filter (taken) over (partition by doc_id, s.start order by k) as island from parts),
+lefts as (
+  select doc_id, rank, s, min(place)::bigint as a, max(place + size)::bigint as b from islands where not taken group by doc_id, rank, s, island),
+candidates as (
+  select doc_id, rank, {{'part': substr(s.part, a + 1, b - a), 'start': s.start + a}} as s from lefts where b - a >= {n}),
 measured as (
   select doc_id, rank, s, case {limit} end as most,
          list_min(list_transform(range(1, length(c) - {n - 2}), lambda i: list_sum(list_transform(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import bounded_batches, column
+from pagesift.llm.common import bounded_batches, column, fresh, whole
 from pagesift.llm.components import components
 from pagesift.sources.scratch import cut
 
@@ -189,10 +189,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component whose id is the smallest, with all its columns.
+    """One row of each component, with all its columns: that of the smallest id, ties by fingerprint, then text.
 
-    Rows without an id stay: nothing tells them apart.
+    Null ids come after all others; a component without any id keeps one row too.  Of
+    rows that repeat id and text, one stays.
     """
-    groups = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__stay"))
-    stay = docs.join(groups.distinct(), column(id_col) == F.col("__stay"), "left_semi")
-    return stay.unionByName(docs.filter(column(id_col).isNull()))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(column(id_col).alias("doc_id"), simhash(column(text_col)).alias("fp"), F.md5(whole(text_col)).alias("md5"))
+    # The first row of each fingerprint (a combining aggregate), then of each component.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5"))
+    prints = cut(rows.groupBy("fp").agg(first.alias("first")))
+    member = components(cut(links(prints.select("fp")).distinct())).withColumnRenamed("node", "fp")
+    best = F.min(F.struct("first.none", "first.doc_id", "fp", "first.md5"))
+    kept = prints.join(member, "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(best.alias("best")).select("best.*")
+    id_key, md5_key = fresh(docs, "__near_id"), fresh(docs, "__near_md5")
+    keyed = docs.withColumns({id_key: id_text(column(id_col)), md5_key: F.md5(whole(text_col))})
+    keys = kept.select(id_text(F.col("doc_id")).alias(id_key), F.col("md5").alias(md5_key)).distinct()
+    stay = keyed.join(keys, [id_key, md5_key], "left_semi").dropDuplicates([id_key, md5_key])
+    return stay.select(*[column(c) for c in docs.columns])
+
+
+def id_text(identifier: Column) -> Column:
+    """A key that a null has too."""
+    return F.coalesce(F.concat(F.lit("="), identifier.cast("string")), F.lit("null"))

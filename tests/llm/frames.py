@@ -3,7 +3,7 @@
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 #: Columns that operators make or use themselves.
-CLASHING = ["fingerprint", "component_id", "kept", "keep_id", "found", "_text", "_norm", "ids", "lang_pred", "score", "k", "h"]
+CLASHING = ["fingerprint", "component_id", "kept", "keep_id", "found", "_text", "_norm", "ids", "lang_pred", "score", "k", "h", "__n", "__stay", "__row_id", "__row_sha", "__near_id", "__near_md5"]
 
 
 def documents(spark, texts, first=1):

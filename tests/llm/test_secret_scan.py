@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -18,16 +19,27 @@ def brute(text, rules=RULES):
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     entropy, n, weights = [], rules.window, rules.weights()
-    for m in re.finditer("[A-Za-z0-9+/_=-]{%d,}" % n, text):
-        c = m[0]
+    for at, c in candidates(text, n, rules.allowed):
         rule = next(r for r in rules.rules if re.fullmatch(r.only, c))
         windows = (c[i : i + n] for i in range(len(c) - n + 1))
         random_enough = any(sum(weights[w.count(x)] for x in set(w)) <= rules.most(rule) for w in windows)
         if random_enough and not any(re.search(p, c) for p in rules.allowed):
-            entropy.append((m.start(), 3, m.end()))
+            entropy.append((at, 3, at + len(c)))
     return sorted(base), sorted(entropy)
 
 
+def candidates(text, least, allowed):
+    """Runs of symbols, cut at the parts between = and / that an allowed word takes."""
+    words = [p for p in allowed if p[0] != "^"]
+    for m in re.finditer("[A-Za-z0-9+/_=-]{%d,}" % least, text):
+        parts = [(p.start(), p.end(), any(re.search(w, p[0]) for w in words)) for p in re.finditer("(?:(?<=[=/])|^)[^=/]*", m[0])]
+        while parts:
+            free = list(itertools.takewhile(lambda p: not p[2], parts))
+            parts = parts[len(free) + 1 :]
+            if free and free[-1][1] - free[0][0] >= least:
+                yield m.start() + free[0][0], m[0][free[0][0] : free[-1][1]]
+
+
 def check(spark, texts):
     docs = clashing(documents(spark, texts, 0))
     got = {r.doc_id: ([tuple(x) for x in r.base], [tuple(x) for x in r.entropy]) for r in S.secret_spans(docs).collect()}
@@ -80,6 +92,20 @@ def test_keys_of_letters_only(spark):
     check(spark, [f"key {key}", f"{key.lower()} {key.upper()}"])
 
 
+def test_long_candidates(spark):
+    """Repeats of groups in the allow-list must not recurse: a megabyte of words and separators."""
+    words = "ab/" * 350_000 + "x"
+    docs = documents(spark, [words, "ab-cd_" * 2000 + "e", words + "9"])
+    assert [r.n_entropy for r in S.secret_report(docs).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
+def test_recursive_patterns_are_refused():
+    for pattern in ("^(a|b)*$", "(ab)+", "(?:x[0-9]){3,}"):
+        with pytest.raises(ValueError):
+            S.EntropySettings(allowed=(pattern,))
+    S.EntropySettings(allowed=("^(?:a|b)*+$", "a(b|c)?", r"\\(x\\)+"))
+
+
 def test_unreachable_limits_are_refused():
     with pytest.raises(ValueError):
         S.EntropySettings(rules=(S.EntropyRule("letters", "[A-Za-z]+", 9.0),))

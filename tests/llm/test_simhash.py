@@ -102,12 +102,17 @@ def test_whole_table(spark):
     assert rows(simhash.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_drop_keeps_columns_and_rows_without_id(spark):
+def test_drop_keeps_columns_and_one_row_of_each_group(spark):
     docs = clashing(documents(spark, ["a b c d", "a b c d", "w x y z", None, ""]))
     docs = docs.unionByName(docs.filter("doc_id = 1").selectExpr("null as doc_id", *[f"`{c}`" for c in docs.columns[1:]]))
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    assert rows(left, "doc_id") == sorted([(1,), (3,), (4,), (None,)], key=repr)
+    assert rows(left, "doc_id") == [(1,), (3,), (4,)]
+    # Without ids, or with ids that repeat: still one row of each group, and every group keeps one.
+    data = [(None, "a b c d"), (None, "a b c d"), (None, "a  b c d"), (7, "w x y z"), (7, "k l m n"), (7, "k l m n"), (None, "k l m n")]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.text.split()[0]) for r in left.fillna(-1, "doc_id").collect()) == [(-1, "a"), (7, "k"), (7, "w")]
+    assert simhash.drop_near_duplicates(docs.limit(0)).isEmpty()
 
 
 def test_components(spark):
