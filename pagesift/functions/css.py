@@ -4,19 +4,25 @@ Two forms: a selector fixed in the code becomes a predicate (``matcher``); a
 selector that is *data* - each site has its own - becomes an array of steps
 (``selector_steps``) that ``select_by_steps`` folds over the page.
 
+Either way a step with a combinator is answered for all nodes of the page at
+once, as an array of flags: nodes are in document order and nest, so a node lies
+below a flagged one iff the furthest end of the flagged nodes before it reaches it.
+That is one pass per step, whatever the depth and the number of matches.
+
 Grammar: tag, ``#id``, ``.class``, ``[attr]``, ``[attr='v']`` (fixed form only),
 compounds, descendant and child combinators, lists.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.binding import let
+from pagesift.functions.binding import CHUNK, chunks, let, running
 
 _SIMPLE = re.compile(r"""\[\s*([\w-]+)\s*(?:=\s*['"]?([^'"\]]*)['"]?\s*)?\]|([#.])((?:\\.|[\w-])+)|(\*|[\w-]+)""")
 
@@ -45,16 +51,17 @@ def _compound(css: str) -> Callable[[Column], Column]:
     return test
 
 
+def _steps(css: str) -> list[tuple[bool, str]]:
+    """(whether it is a child of the step before, compound) for each step of a chain."""
+    parts = [p for p in re.split(r"\s*(>)\s*|\s+(?![^\[]*\])", css.strip()) if p]
+    return [(parts[i - 1] == ">" if i else False, p) for i, p in enumerate(parts) if p != ">"]
+
+
 def _chain(css: str) -> Callable[[Column], Column]:
-    parts = re.split(r"\s*(>)\s*|\s+(?![^\[]*\])", css.strip())
-    steps = [p for p in parts if p]
-    test = _compound(steps[0])
-    at = 1
-    while at < len(steps):
-        child = steps[at] == ">"
-        at += child
-        test = _below(test, _compound(steps[at]), child)
-        at += 1
+    steps = _steps(css)
+    test = _compound(steps[0][1])
+    for child, compound in steps[1:]:
+        test = _below(test, _compound(compound), child)
     return test
 
 
@@ -132,6 +139,70 @@ def selector_steps(css: Column) -> Column:
     )
 
 
+def below(flags: Column) -> Column:
+    """For each node whether an ancestor is flagged."""
+    ends = F.transform(F.col("nodes"), lambda e, i: F.when(F.get(flags, i), e["last_id"]).otherwise(F.lit(-1)))
+    # The furthest end up to the node before; a node's own end never reaches into what comes before it.
+    reach = let(ends, lambda found: running(found, F.lit(-1), F.greatest))
+    return let(reach, lambda found: F.transform(F.col("nodes"), lambda e, i: F.coalesce(F.get(found, i - 1) >= i, F.lit(False))))
+
+
+def either(one: Column, other: Column) -> Column:
+    return F.zip_with(one, other, lambda a, b: a | b)
+
+
+def is_compound(css: str) -> bool:
+    """Whether a fixed selector has no combinator."""
+    return all(len(_steps(part)) == 1 for part in css.split(","))
+
+
+def page_flags(css: str) -> Column:
+    """For each node of the page whether a fixed selector matches it."""
+    nodes = F.col("nodes")
+
+    def chain(part: str) -> Column:
+        steps = _steps(part)
+        first = _compound(steps[0][1])
+        flags = F.transform(nodes, lambda e: first(e))
+        for child, css_ in steps[1:]:
+            flags = let(flags, functools.partial(linked, child, _compound(css_)))
+        return flags
+
+    def linked(child: bool, test: Callable[[Column], Column], before: Column) -> Column:
+        if child:
+            return F.transform(nodes, lambda e: test(e) & F.coalesce(F.get(before, e["parent_id"]), F.lit(False)))
+        return let(below(before), lambda inside: F.transform(nodes, lambda e, i: test(e) & F.get(inside, i)))
+
+    return functools.reduce(either, [chain(part) for part in css.split(",")])
+
+
+def nearest(test: Callable[[Column], Column]) -> Column:
+    """For each node the id of the nearest of the node and its ancestors that passes ``test``, or null.
+
+    A node takes what its parent has: parents come first, in this part of the page or an earlier one.
+    """
+    nodes = F.col("nodes")
+    none = F.array().cast("array<int>")
+
+    def part(done: Column, some: Column) -> Column:
+        start = F.get(some, 0)["node_id"]
+
+        def own(found: Column, e: Column) -> Column:
+            up = e["parent_id"]
+            early = F.get(F.get(done, F.floor(up / CHUNK).cast("int")), F.pmod(up, F.lit(CHUNK)))
+            above = F.when(up < 0, F.lit(None)).when(up >= start, F.get(found, up - start)).otherwise(early)
+            return F.array_append(found, F.when(test(e), e["node_id"]).otherwise(above))
+
+        return F.aggregate(some, none, own)
+
+    return F.aggregate(chunks(nodes), F.array().cast("array<array<int>>"), lambda done, some: F.array_append(done, part(done, some)), F.flatten)
+
+
+def match_counts(test: Callable[[Column], Column]) -> Column:
+    """For each node how many nodes up to it, itself included, pass ``test``."""
+    return running(F.transform(F.col("nodes"), lambda e: test(e).cast("int")), F.lit(0), lambda n, one: n + one)
+
+
 def select_by_steps(steps: Column) -> Column:
     """Nodes of the page matching ``steps``, in document order and without duplicates."""
     nodes = F.col("nodes")
@@ -144,22 +215,23 @@ def select_by_steps(steps: Column) -> Column:
         )
 
     def advance(acc: Column, s: Column) -> Column:
-        def linked(e: Column) -> Column:
-            return (
-                F.when(s["comb"] == ",", F.lit(True))
-                .when(s["comb"] == ">", F.array_contains(acc["now"], e["parent_id"]))
-                .otherwise(F.exists(acc["now"], lambda i: (i < e["node_id"]) & (F.get(nodes, i)["last_id"] >= e["node_id"])))
-            )
-
-        found = F.transform(F.filter(nodes, lambda e: fits(e, s) & linked(e)), lambda e: e["node_id"])
-        done = F.when(s["comb"] == ",", F.concat(acc["done"], acc["now"])).otherwise(acc["done"])
-        return F.struct(found.alias("now"), done.alias("done"))
+        def found(linked: Column) -> Column:
+            now = F.transform(nodes, lambda e, i: F.coalesce(F.get(linked, i), F.lit(False)) & fits(e, s))
+            done = F.when(s["comb"] == ",", either(acc["done"], acc["now"])).otherwise(acc["done"])
+            return F.struct(now.alias("now"), done.alias("done"))
+
+        linked = (
+            F.when(s["comb"] == ",", F.transform(nodes, lambda e: F.lit(True)))
+            .when(s["comb"] == ">", F.transform(nodes, lambda e: F.get(acc["now"], e["parent_id"])))
+            .otherwise(below(acc["now"]))
+        )
+        return let(linked, found)
 
-    none = F.array().cast("array<int>")
+    none = F.transform(nodes, lambda e: F.lit(False))
     folded = F.aggregate(
         steps,
         F.struct(none.alias("now"), none.alias("done")),
         advance,
-        lambda acc: F.sort_array(F.array_distinct(F.concat(acc["done"], acc["now"]))),
+        lambda acc: either(acc["done"], acc["now"]),
     )
-    return F.transform(folded, lambda i: F.get(nodes, i))
+    return let(folded, lambda flags: F.filter(nodes, lambda e, i: F.coalesce(F.get(flags, i), F.lit(False))))

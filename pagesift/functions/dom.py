@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.css import any_ancestor, matcher, over_ancestors
+from pagesift.functions.binding import let
+from pagesift.functions.css import any_ancestor, is_compound, matcher, over_ancestors, page_flags
 
 
 def nodes() -> Column:
@@ -45,14 +46,30 @@ def has_class(e: Column, name: str) -> Column:
 
 
 def select(css: str, root: Column | None = None) -> Column:
-    """Nodes matching a fixed selector, in document order: below ``root`` or in the whole page."""
-    return F.filter(nodes() if root is None else descendants(root), matcher(css))
+    """Nodes matching a fixed selector, in document order: below ``root`` or in the whole page.
+
+    With a combinator it works on the whole page, once per call: inside a loop over
+    nodes, make ``page_flags`` before the loop and use ``flagged``.
+    """
+    if is_compound(css):
+        return F.filter(nodes() if root is None else descendants(root), matcher(css))
+    return let(page_flags(css), lambda flags: flagged(flags, root))
+
+
+def flagged(flags: Column, root: Column | None = None) -> Column:
+    """Nodes with a flag, in document order: below ``root`` or in the whole page."""
+    return F.filter(nodes() if root is None else descendants(root), lambda e: F.get(flags, e["node_id"]))
 
 
 def select_first(css: str, root: Column | None = None) -> Column:
     return F.get(select(css, root), 0)
 
 
+def any_below(counts: Column, e: Column) -> Column:
+    """Whether one of the nodes that ``match_counts`` counts is below the node."""
+    return F.coalesce(F.get(counts, e["last_id"]) > F.get(counts, e["node_id"]), F.lit(False))
+
+
 def contains(css: str, root: Column) -> Column:
     return F.coalesce(F.exists(descendants(root), matcher(css)), F.lit(False))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom, selectors
+from pagesift.functions.binding import let
+from pagesift.functions.css import match_counts
 from pagesift.functions.text import complexity_of, is_pager_label
 from pagesift.functions.urls import fill_template_form
 from pagesift.sources.rules import Rules
@@ -27,35 +29,62 @@ def probe_urls(links: DataFrame, rules: Rules) -> DataFrame:
     return probe_queries(links, rules).withColumn("probe_url", filled)
 
 
-def _facts(e: Column) -> Column:
-    is_a = e["tag"] == "a"
+def _element_key(e: Column) -> Column:
+    """64 bits for the pair of parent path and class selector."""
+    return F.xxhash64(selectors.parent_path_id(e), selectors.class_selector(e))
+
+
+def _facts(e: Column, anchors: Column) -> Column:
     return F.struct(
         e["node_id"].alias("node_id"),
         e["parent_id"].alias("parent_id"),
-        selectors.parent_tag_path(e).alias("parent_path"),
-        selectors.class_selector(e).alias("element"),
-        selectors.child_signature(e).alias("signature"),
+        _element_key(e).alias("element_key"),
+        F.xxhash64(selectors.child_signature(e)).alias("signature_key"),
         e["tag"].alias("tag"),
-        e["classes"].alias("classes"),
+        F.when(F.col("probe_no") > 0, e["classes"]).alias("classes"),
         F.size(e["child_tags"]).alias("n_children"),
-        (is_a | ((F.size(e["child_tags"]) > 0) & dom.contains("a", e))).alias("has_anchor"),
+        ((e["tag"] == "a") | dom.any_below(anchors, e)).alias("has_anchor"),
         is_pager_label(e["label"]).alias("is_pager"),
         complexity_of(F.size(e["child_tags"]), e["trimmed_len"]).alias("complexity"),
-        selectors.parent_selector(dom.node(e["parent_id"])).alias("parent"),
+        F.when(F.col("probe_no") > 0, selectors.parent_selector(dom.node(e["parent_id"]))).alias("parent"),
     )
 
 
+def _deep() -> Column:
+    """The root and its children are left out."""
+    return F.filter(dom.nodes(), lambda e: e["depth"] >= 2)
+
+
 def no_result_blacklist(probes: DataFrame, *keys: str) -> DataFrame:
-    """Distinct (parent path, class selector) of a no-result page; the root and its children are left out."""
-    deep = F.filter(dom.nodes(), lambda e: e["depth"] >= 2)
-    seen = F.transform(
-        deep,
-        lambda e: F.struct(
-            selectors.parent_tag_path(e).alias("parent_path"), selectors.class_selector(e).alias("element")
-        ),
+    """Distinct (parent path, class selector) of a no-result page; ``keys`` name one page.
+
+    Texts are spelled for the distinct ones only, inside the page: nothing is shuffled.
+    """
+    seen = let(selectors.first_of_each(_deep(), _element_key), lambda firsts: F.transform(firsts, _texts))
+    return probes.select(*keys, F.inline(seen)).select(*keys, "parent_path", "element")
+
+
+def _texts(e: Column) -> Column:
+    return F.struct(
+        e["node_id"].alias("node_id"),
+        selectors.parent_tag_path(e).alias("parent_path"),
+        selectors.class_selector(e).alias("element"),
+        selectors.child_signature(e).alias("signature"),
     )
-    # Distinct inside the page first, so that what is shuffled is already small.
-    return probes.select(*keys, F.inline(F.array_distinct(seen))).distinct()
+
+
+def spelled(rows: DataFrame, probes: DataFrame, *keys: str, node_col: str = "node_id") -> DataFrame:
+    """``rows`` with ``parent_path, element, signature`` of the node that each names.
+
+    Rows of one page (``keys`` and ``probe_no``) are gathered, so a page is looked up
+    once, and only the nodes that are named are spelled.
+    """
+    page = [*keys, "probe_no"]
+    others = [c for c in rows.columns if c not in page]
+    asked = rows.groupBy(*page).agg(F.collect_list(F.struct(*others)).alias("asked"))
+    told = F.transform("asked", lambda r: F.struct(r.alias("row"), _texts(dom.node(r[node_col])).alias("texts")))
+    found = asked.join(probes.select(*page, "nodes", "paths"), page).select(*page, F.inline(told))
+    return found.select(*page, "row.*", "texts.parent_path", "texts.element", "texts.signature")
 
 
 def diff_candidates(probes: DataFrame, *keys: str) -> DataFrame:
@@ -64,11 +93,14 @@ def diff_candidates(probes: DataFrame, *keys: str) -> DataFrame:
     A window over the key instead of an anti-join of two branches: the pages
     are parsed once and shuffled once.  A key's rows come from three pages, so
     they are dealt out by the key alone; the groups of siblings, pages and keys
-    that are formed next then need no other exchange.
+    that are formed next then need no other exchange.  Paths, selectors and
+    signatures travel as 64-bit keys; ``spelled`` has their texts.
     """
-    deep = F.filter(dom.nodes(), lambda e: e["depth"] >= 2)
-    found = probes.select(*keys, "probe_no", F.inline(F.transform(deep, _facts))).repartition(*keys)
-    same = Window.partitionBy(*keys, "parent_path", "element")
+    # Of the no-result page only the keys count, each once.
+    asked = F.when(F.col("probe_no") == 0, selectors.first_of_each(_deep(), _element_key)).otherwise(_deep())
+    facts = let(match_counts(lambda e: e["tag"] == "a"), lambda anchors: F.transform(asked, lambda e: _facts(e, anchors)))
+    found = probes.select(*keys, "probe_no", F.inline(facts)).repartition(*keys)
+    same = Window.partitionBy(*keys, "element_key")
     known = F.max(F.col("probe_no") == 0).over(same)
     return found.withColumn("known", known).filter("not known and probe_no > 0").drop("known")
 
@@ -77,7 +109,7 @@ def sibling_patterns(candidates: DataFrame, *keys: str) -> DataFrame:
     """Groups of siblings with the same child signature: a group never spans pages."""
     page = [*keys, "probe_no"]
     first = F.min_by(F.struct("tag", "n_children", "has_anchor", "complexity", "parent"), "node_id")
-    groups = candidates.groupBy(*page, "parent_id", "signature").agg(
+    groups = candidates.groupBy(*page, "parent_id", "signature_key").agg(
         F.count("*").alias("count"),
         F.min("node_id").alias("first_id"),
         first.alias("first"),
@@ -87,7 +119,7 @@ def sibling_patterns(candidates: DataFrame, *keys: str) -> DataFrame:
     return groups.select(
         *page,
         "parent_id",
-        "signature",
+        "signature_key",
         "count",
         "first_id",
         F.min("first_id").over(Window.partitionBy(*page, "parent_id")).alias("parent_first_id"),

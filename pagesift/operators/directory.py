@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom
-from pagesift.functions.css import matcher
+from pagesift.functions.binding import let
+from pagesift.functions.css import match_counts, matcher, nearest, page_flags
 from pagesift.functions.text import has_any_word, is_blank, is_int32, trim_ws
 from pagesift.sources.captures import fetch
 from pagesift.sources.rules import GLOBE_CLASS, Rules
@@ -42,11 +43,14 @@ def category_headers(pages: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     )
 
 
-def _header_links(h: Column) -> Column:
-    """``li a`` links of the first list after one heading, with what the link rules look at."""
+def _header_links(h: Column, links: Column, items: Column, globes: Column) -> Column:
+    """``li a`` links of the first list after one heading, with what the link rules look at.
+
+    ``links`` flags the links of the page, ``items`` has the list item around each node, ``globes`` counts globes.
+    """
 
     def link(a: Column) -> Column:
-        li = dom.closest("li", a)
+        li = dom.node(F.get(items, a["node_id"]))
         return F.struct(
             h["category_ord"].alias("category_ord"),
             h["category"].alias("category"),
@@ -55,20 +59,23 @@ def _header_links(h: Column) -> Column:
             dom.attr(a, "href").alias("href"),
             dom.text_content(a).alias("text"),
             dom.has_class(li, "starred").alias("starred"),
-            dom.contains("." + GLOBE_CLASS, li).alias("has_globe"),
+            dom.any_below(globes, li).alias("has_globe"),
         )
 
     listing = dom.next_sibling("ul", h["header"])
-    wanted = matcher("li a")
-    return F.transform(F.filter(dom.descendants(listing), wanted), link)
+    return F.transform(dom.flagged(links, listing), link)
 
 
 def header_list_links(pages: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     """Candidate links: one row per link in the list that follows a category heading."""
-    links = F.flatten(
-        F.filter(F.transform(_headers(rules.categories), _header_links), lambda found: found.isNotNull())
-    )
-    return pages.select(*keys, F.inline(links))
+
+    def found(links: Column, items: Column, globes: Column) -> Column:
+        per_header = F.transform(_headers(rules.categories), lambda h: _header_links(h, links, items, globes))
+        return F.flatten(F.filter(per_header, lambda some: some.isNotNull()))
+
+    # What is asked of every link is worked out for the whole page at once.
+    facts = let(page_flags("li a"), lambda a: let(nearest(matcher("li")), lambda b: let(match_counts(matcher("." + GLOBE_CLASS)), lambda c: found(a, b, c))))
+    return pages.select(*keys, F.inline(facts))
 
 
 def is_numeric_text(text: Column) -> Column:

@@ -9,12 +9,19 @@ questions *across* pages need a join or an aggregate.
 
 Node ids are pre-order ranks, so the descendants of a node are the array slice
 ``[node_id + 1, last_id]`` and its text is a slice of the page text.
+
+The tags on the way to a node are an entry of the page's path trie: ``paths``
+holds for each entry the one above it and a tag, ``path`` of a node is its entry,
+and ``path_id`` a 64-bit digest of the whole path, equal on all pages.  Paths are
+compared and shuffled as digests, and spelled only where they are shown.  A tree may
+be as deep as it has elements: nothing here grows with depth times elements.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -26,8 +33,9 @@ from pagesift.sources.captures import spread
 NODE_DDL = (
     "struct<node_id:int,parent_id:int,last_id:int,depth:int,sib_ord:int,tag:string,id:string,"
     "classes:array<string>,attrs:map<string,string>,text_start:int,text_len:int,trimmed_len:int,label:string,"
-    "child_tags:array<string>>"
+    "child_tags:array<string>,path:int,path_id:bigint>"
 )
+PATHS_DDL = "array<struct<up:int,tag:string>>"
 
 _STRINGS = pa.list_(pa.string())
 _NODE = pa.struct(
@@ -46,8 +54,11 @@ _NODE = pa.struct(
         ("trimmed_len", pa.int32()),
         ("label", pa.string()),
         ("child_tags", _STRINGS),
+        ("path", pa.int32()),
+        ("path_id", pa.int64()),
     ]
 )
+_ENTRY = pa.struct([("up", pa.int32()), ("tag", pa.string())])
 
 # --- tokens -----------------------------------------------------------------
 
@@ -94,8 +105,6 @@ _SPECIAL = (
 _STOPS_LI = _SPECIAL - {"address", "div", "p"}
 
 
-#: Depth of the tree: what is nested deeper, as by endlessly unclosed tags, becomes a child of the last element above it.
-MAX_DEPTH = 2048
 #: Open elements that ``_find`` looks at one by one before it asks for the last one of each tag.
 NEAR = 64
 #: Trimmed text of a node up to this length is kept with it as ``label``.
@@ -105,11 +114,7 @@ _INK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 
 
 class _Tree:
-    """Builds the flat node columns of one page from its tokens.
-
-    Elements at ``MAX_DEPTH`` have no descendants: those that are open inside them
-    are their siblings.  Each still has its own text, with that of what it holds.
-    """
+    """Builds the flat node columns of one page from its tokens."""
 
     def __init__(self) -> None:
         self.parent: list[int] = []
@@ -121,6 +126,9 @@ class _Tree:
         self.start: list[int] = []
         self.length: list[int] = []
         self.children: list[list[str]] = []
+        self.path: list[int] = []
+        self.entries: dict[tuple[int, str], int] = {}  # path trie: (entry above, tag) -> entry
+        self.digests: list[bytes] = []
         self.chunks: list[str] = []
         self.pos = 0
         self.stack: list[int] = []
@@ -131,8 +139,8 @@ class _Tree:
 
     def _open(self, tag: str, attrs: dict[str, str]) -> int:
         node = len(self.tag)
-        depth = min(len(self.stack), MAX_DEPTH)
-        up = self.stack[depth - 1] if depth else -1
+        depth = len(self.stack)
+        up = self.stack[-1] if depth else -1
         self.parent.append(up)
         self.tag.append(tag)
         self.attrs.append(attrs)
@@ -146,15 +154,23 @@ class _Tree:
             self.children[up].append(tag)
         else:
             self.sib.append(0)
+        self.path.append(self._entry(self.path[up] if up >= 0 else -1, tag))
         self.stack.append(node)
         self.open.setdefault(tag, []).append(node)
         return node
 
+    def _entry(self, above: int, tag: str) -> int:
+        """The path trie's entry for a tag below another entry."""
+        found = self.entries.setdefault((above, tag), len(self.digests))
+        if found == len(self.digests):
+            start = self.digests[above] if above >= 0 else b""
+            self.digests.append(blake2b(start + tag.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        return found
+
     def _pop(self) -> None:
         node = self.stack.pop()
         self.open[self.tag[node]].pop()
-        if len(self.stack) < MAX_DEPTH:
-            self.last[node] = len(self.tag) - 1
+        self.last[node] = len(self.tag) - 1
         self.length[node] = self.pos - self.start[node]
 
     def _pop_through(self, depth: int) -> None:
@@ -393,8 +409,8 @@ def _list_of(lists, kind) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(lists), pa.array([v for item in lists for v in item], kind))
 
 
-def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array]:
-    """(text, nodes) columns for a batch of parsed pages."""
+def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(text, nodes, paths) columns for a batch of parsed pages."""
     live = [t for t in trees if t is not None]
 
     def flat(name):
@@ -423,15 +439,27 @@ def _to_arrow(trees: list[_Tree | None]) -> tuple[pa.Array, pa.Array]:
             pa.array(flat("trimmed"), pa.int32()),
             pa.array(flat("label"), pa.string()),
             _list_of(flat("children"), pa.string()),
+            pa.array(flat("path"), pa.int32()),
+            pa.array([ids[k] for t in live for ids in [_path_ids(t)] for k in t.path], pa.int64()),
         ],
         fields=list(_NODE),
     )
+    trie = [list(t.entries) if t is not None else [] for t in trees]
+    entries = pa.StructArray.from_arrays(
+        [pa.array([up for t in trie for up, _ in t], pa.int32()), pa.array([tag for t in trie for _, tag in t], pa.string())],
+        fields=list(_ENTRY),
+    )
+    paths = pa.ListArray.from_arrays(_offsets(trie), entries)
     sizes = [[] if t is None else t.tag for t in trees]
     text = pa.array([None if t is None else t.full for t in trees], pa.string())
-    return text, pa.ListArray.from_arrays(_offsets(sizes), nodes)
+    return text, pa.ListArray.from_arrays(_offsets(sizes), nodes), paths
+
+
+def _path_ids(tree: _Tree) -> list[int]:
+    return [int.from_bytes(d, "little", signed=True) for d in tree.digests]
 
 
-def _built(trees: list[_Tree | None], errors: list[str | None]) -> tuple[pa.Array, pa.Array]:
+def _built(trees: list[_Tree | None], errors: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """``_to_arrow``; when a batch can't be built, the pages that can't be built alone become errors."""
     try:
         return _to_arrow(trees)
@@ -448,13 +476,13 @@ def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
     """Parse the ``html`` column of every row; all other columns pass through.
 
     Adds ``text`` (all text nodes in document order), ``nodes`` (the element
-    tree, pre-order) and ``error`` (set instead of raising).  Filter captures
+    tree, pre-order), ``paths`` (its path trie) and ``error`` (set instead of raising).  Filter captures
     *before* calling this: Catalyst moves no filter through a Python node.
     """
     keep = [c for c in captures.columns if c != html]
     source = captures.select(*keep, html)
     passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop(html).schema)
-    schema = f"{passed}text string, nodes array<{NODE_DDL}>, error string"
+    schema = f"{passed}text string, nodes array<{NODE_DDL}>, paths {PATHS_DDL}, error string"
 
     def run(batches):
         for batch in batches:
@@ -469,11 +497,11 @@ def parse_pages(captures: DataFrame, html: str = "html") -> DataFrame:
                     except Exception as exc:  # a bad page is data, not a job failure
                         trees.append(None)
                         errors.append(type(exc).__name__)
-                text, nodes = _built(trees, errors)
+                text, nodes, paths = _built(trees, errors)
                 columns = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, text, nodes, pa.array(errors, pa.string())],
-                    names=[*keep, "text", "nodes", "error"],
+                    [*columns, text, nodes, paths, pa.array(errors, pa.string())],
+                    names=[*keep, "text", "nodes", "paths", "error"],
                 )
 
     return spread(source).mapInArrow(run, schema)

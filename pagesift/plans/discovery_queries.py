@@ -333,8 +333,10 @@ def no_result_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     select site, probe_no::int as probe_no, parent_path, element, n from b""",
 )
 def diff_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cards.diff_candidates(_probes(spark, sf_dir), "site")
-    return found.groupBy("site", "probe_no", "parent_path", "element").agg(F.count("*").alias("n"))
+    probes = _probes(spark, sf_dir)
+    found = cards.diff_candidates(probes, "site").groupBy("site", "probe_no", "element_key")
+    told = cards.spelled(found.agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")), probes, "site")
+    return told.select("site", "probe_no", "parent_path", "element", "n")
 
 
 @query(
@@ -350,10 +352,11 @@ def diff_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     select site, probe_no::int as probe_no, signature, size::bigint as size, groups::bigint as groups from b""",
 )
 def sibling_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = cards.sibling_patterns(cards.diff_candidates(_probes(spark, sf_dir), "site"), "site")
-    return patterns.groupBy("site", "probe_no", "signature", F.col("count").alias("size")).agg(
-        F.count("*").alias("groups")
-    )
+    probes = _probes(spark, sf_dir)
+    patterns = cards.sibling_patterns(cards.diff_candidates(probes, "site"), "site")
+    sizes = patterns.groupBy("site", "probe_no", "signature_key", F.col("count").alias("size"))
+    told = cards.spelled(sizes.agg(F.min("first_id").alias("node_id"), F.count("*").alias("groups")), probes, "site")
+    return told.select("site", "probe_no", "signature", "size", "groups")
 
 
 _PATTERNS = f"""with {_PROBED}, b as (

@@ -128,7 +128,7 @@ def attr_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select site, null, 1 from p where j = 0""",
 )
 def tag_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = F.transform(dom.select("img, html"), selectors.tag_path)
+    paths = selectors.once_per_path(dom.select("img, html"), selectors.tag_path)
     return (
         parsed_search_pages(spark, sf_dir)
         .select("site", F.explode(paths).alias("path"))

@@ -1,13 +1,13 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagesift.functions import dom, selectors
-from pagesift.functions.css import select_by_steps, selector_steps
-from pagesift.operators.html import MAX_DEPTH, build_tree, elements, parse_pages
+from pagesift.functions.css import matcher, nearest, select_by_steps, selector_steps
+from pagesift.operators.html import build_tree, elements, parse_pages
 
 
 def outline(html):
@@ -103,9 +103,11 @@ def test_bad_pages_are_rows(pages):
     assert rows[0].n == 4 and rows[2].n == 3
 
 
-def test_endless_nesting_is_an_error_of_the_page(pages):
-    deep = pages("<b>" * 100_000, "<p>fine", "<i>" * 400 + "x").select("site", "error", F.size("nodes").alias("n")).orderBy("site")
-    assert [tuple(r) for r in deep.collect()] == [(0, "TooDeep", 0), (1, None, 4), (2, None, 403)]
+def test_endless_nesting_is_a_tree(pages):
+    deep = pages("<b>" * 100_000, "<p>fine", "<i>" * 400 + "x")
+    last = F.element_at("nodes", -1)
+    found = deep.select("site", "error", F.size("nodes").alias("n"), last["depth"].alias("depth"), last["parent_id"].alias("up")).orderBy("site")
+    assert [tuple(r) for r in found.collect()] == [(0, None, 100_003, 100_001, 100_001), (1, None, 4, 2, 2), (2, None, 403, 401, 401)]
 
 
 @pytest.mark.parametrize("n", [520, 600, 100_000])
@@ -115,10 +117,7 @@ def test_endless_nesting_keeps_every_element(n, tag):
     assert len(t.tag) == n + 6 and t.tag.count(tag) == n and t.full == "beforebehind"
     form = t.tag.index("form")
     assert t.length[t.tag.index(tag)] == len("behind") and t.last[0] == len(t.tag) - 1
-    if n < MAX_DEPTH:
-        assert t.depth[form] == n + 2 and t.parent[form + 1] == form
-    else:
-        assert max(t.depth) == MAX_DEPTH and t.parent[form] == t.parent[form + 1] == t.parent[n]
+    assert t.depth[form] == n + 2 and t.parent[form + 1] == form
 
 
 @given(st.lists(_PIECES, max_size=30).map("".join))
@@ -229,3 +228,71 @@ def test_parse_is_narrow(spark):
     made = spark.createDataFrame([(1, "<p>x")], "site bigint, html string")
     plan = parse_pages(made)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_paths(pages):
+    """Digests are equal exactly where the spelled paths are, on all pages."""
+    rows = pages(HTML, "<div><ul><li><a>1</a><p>2</p></li></ul></div>", "<p>1<p>2<i><b>").select(
+        "site", F.inline(F.transform(dom.nodes(), lambda e: F.struct(
+            e["path_id"].alias("id"), selectors.tag_path(e).alias("path"), selectors.parent_path_id(e).alias("above"),
+            selectors.parent_tag_path(e).alias("above_path"))))).collect()
+    assert len({(r.id, r.path) for r in rows}) == len({r.id for r in rows}) == len({r.path for r in rows})
+    known = {r.path: r.id for r in rows}
+    assert all(r.above == (known[r.above_path] if r.above_path else None) for r in rows)
+    assert {r.path for r in rows if r.site == 2} == {None, "head", "body", "body > p", "body > p > i", "body > p > i > b"}
+
+
+def test_paths_of_many_nodes_are_spelled_once(pages):
+    page = pages(HTML).select(selectors.once_per_path(dom.nodes(), selectors.tag_path).alias("a"), F.transform(dom.nodes(), selectors.tag_path).alias("b"))
+    row = page.first()
+    assert row.a == row.b and len(row.a) > 10
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(_PIECES, max_size=40).map("".join), min_size=30, max_size=60))
+def test_page_wide_answers_equal_those_of_single_nodes(spark, pages, htmls):
+    """Flags, nearest and counts over chunks of the page against a climb from every node."""
+    from pagesift.functions import binding, css
+
+    size = binding.CHUNK
+    page = pages(*htmls)
+    css_ = "div p a, table > tbody td, li > b, form b > b"
+    try:
+        binding.CHUNK = css.CHUNK = 3
+        flags = page.select(
+            css.page_flags(css_).alias("flags"),
+            F.transform(dom.nodes(), css.matcher(css_)).alias("want_flags"),
+            css.nearest(css.matcher("div, td")).alias("near"),
+            F.transform(dom.nodes(), lambda e: dom.closest("div, td", e)["node_id"]).alias("want_near"),
+            F.transform(dom.nodes(), lambda e: dom.any_below(css.match_counts(css.matcher("a, b")), e)).alias("any"),
+            F.transform(dom.nodes(), lambda e: dom.contains("a, b", e)).alias("want_any"),
+            F.transform(css.select_by_steps(css.selector_steps(F.lit(css_))), lambda e: e["node_id"]).alias("ids"),
+        )
+    finally:
+        binding.CHUNK = css.CHUNK = size
+    for r in flags.collect():
+        assert r.flags == r.want_flags and r.near == r.want_near and r.any == r.want_any
+        assert r.ids == [i for i, hit in enumerate(r.flags) if hit]
+
+
+def test_long_and_deep_pages_take_linear_time(pages):
+    import time
+
+    wide = "<ul>" + "<li class=c><p><a href=x>1</a></p></li>" * 50_000 + "</ul>"
+    deep = "<div class=c><b>" * 50_000 + "<p><a href=x>1"
+    found = pages(wide, deep).cache()
+    assert [r.n for r in found.select("site", F.size("nodes").alias("n")).orderBy("site").collect()] == [150_004, 100_005]
+    answers = {
+        "fixed": F.size(dom.select("div b a, li > p > a")),
+        "stored": F.size(select_by_steps(selector_steps(F.lit(".c b a, .c a")))),
+        "nearest": F.size(F.array_distinct(nearest(matcher("li, div")))),
+        "path": F.length(selectors.tag_path(F.element_at(dom.nodes(), -1))),
+    }
+    took = {}
+    for name, answer in answers.items():
+        start = time.time()
+        got = [r.n for r in found.select("site", answer.alias("n")).orderBy("site").collect()]
+        took[name] = time.time() - start
+        assert got == {"fixed": [50_000, 1], "stored": [50_000, 1], "nearest": [50_001, 50_001], "path": [len("body > ul > li > p > a"), len("body > p > a") + 50_000 * len("div > b > ")]}[name]
+    found.unpersist()
+    assert max(took.values()) < 30, took
