@@ -2,19 +2,24 @@
 
 A search lives ``lifetime`` from its start; the first event at or after its end
 starts the next one.  That is a sequential rule per key, yet no key is ever
-handled by one task here - one key may hold a third of a log:
-
-* Time is cut into buckets of one lifetime, so a bucket holds at most one
-  start, and an event's candidate successor - the first event a lifetime later
-  - lies in the next bucket or is the first event of a later one.  Both are
-  found with windows over (key, bucket) and over (key) on bucket *summaries*.
-* An event more than a lifetime after its predecessor always starts a search.
-  From those heads, starts are reached along successor edges by pointer
-  doubling: log2(longest run / lifetime) rounds, each an equi-join on
-  (key, time).  Sparse keys have no edges and cost no round.
-
-Events with equal key and time are one tick, so what is shuffled is bounded by
-distinct times, not by events.  Times are microseconds since the epoch.
+handled by one task here - one key may hold a third of a log, within one lifetime:
+
+* Events with equal key and time are one tick, so what is shuffled is bounded by
+  distinct times, not by events.
+* Time is cut into buckets of one lifetime, and the buckets of crowded keys, which a
+  sketch finds, further at the key's own quantiles.  A tick's successor - the first
+  one a lifetime later - is found by windows over these cells, and by a window over
+  one row per cell where it lies beyond.
+* A tick more than a lifetime after its predecessor always starts a search.  From
+  those heads, starts are reached along successor edges by pointer doubling:
+  log2(longest run / lifetime) rounds, each an equi-join on (key, time).  Only heads
+  and successors have edges, so a burst of ticks with one successor is one edge.
+  Sparse keys have no edges and cost no round.
+* A bucket holds one start at most, so an event looks at that of its own bucket and
+  that of the one before: one join, spread where a (key, bucket) is crowded, gives it
+  all that is known of its run.
+
+Times are microseconds since the epoch.
 """
 
 from __future__ import annotations
@@ -22,69 +27,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.operators.skew import crowded, is_crowded, spread_join
 from pagesift.sources.scratch import cut
 
 MINUTE = 60_000_000
 DAY = 24 * 60 * MINUTE
 REPLAY_TTL = 5 * MINUTE
 STORE_TTL = 7 * DAY
-#: Parts that the events of one key are dealt into when they meet the key's carried state.
-PARTS = 32
+#: Cells that the ticks of a crowded key are cut into, besides its buckets.
+CELLS = 128
 
 
 def _bucket(us: Column, width: int) -> Column:
     return F.floor(us / F.lit(width)).cast("bigint")
 
 
+def _in_cells(rows: DataFrame, quantiles: DataFrame | None, width: int) -> DataFrame:
+    """Adds the cell ``b, s`` of time ``at``: its bucket, and which of its key's quantiles it has passed."""
+    cells = rows.withColumn("b", _bucket(F.col("at"), width))
+    if quantiles is None:
+        return cells.withColumn("s", F.lit(0))
+    # Fewer rows than the sketch names crowded keys, whatever the input.
+    passed = F.size(F.filter("times", lambda t: t <= F.col("at")))
+    return cells.join(F.broadcast(quantiles), "key", "left").withColumn("s", F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0))).drop("times")
+
+
+def _quantiles(ticks: DataFrame, width: int) -> DataFrame | None:
+    """``key, times``: where the ticks of each crowded key, and the times ``width`` behind them, divide into equal
+    parts; none if no key is crowded."""
+    keys = crowded(ticks, "key")
+    if not keys:
+        return None
+    shares = [k / CELLS for k in range(1, CELLS)]
+    times = F.percentile_approx("at", F.array(*map(F.lit, shares)), 1000)
+    both = ticks.filter(is_crowded(keys, "key")).select("key", F.explode(F.array("us", F.col("us") + width)).alias("at"))
+    return cut(both.groupBy("key").agg(times.alias("times")))
+
+
 def _with_neighbours(ticks: DataFrame, width: int) -> DataFrame:
-    """Adds ``before`` (previous event of the key) and ``after`` (first event ``width`` later)."""
-    bucketed = ticks.select("key", "us", _bucket(F.col("us"), width).alias("b"))
-    summary = bucketed.groupBy("key", "b").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    # One row per non-empty bucket of a key: bounded by the time span.
-    by_key = Window.partitionBy("key").orderBy("b")
-    edges = summary.select(
-        "key",
-        "b",
-        F.lag("hi").over(by_key).alias("last_before"),
-        F.when(F.lead("b").over(by_key) == F.col("b") + 1, F.lead("lo", 2).over(by_key))
-        .otherwise(F.lead("lo").over(by_key))
-        .alias("first_beyond"),
-    )
-    # Events of the next bucket, moved back by one width, line up with those of this one.
-    own = bucketed.withColumn("target", F.lit(None).cast("bigint"))
-    moved = bucketed.select(
-        "key", (F.col("us") - width).alias("us"), (F.col("b") - 1).alias("b"), F.col("us").alias("target")
+    """Adds ``before`` (previous event of the key), ``after`` (first event ``width`` later or more) and
+    ``last`` (the last event before that time, the tick itself at least)."""
+    own = ticks.select("key", "us", F.col("us").alias("at"), F.lit(True).alias("own"))
+    moved = ticks.select("key", "us", (F.col("us") + width).alias("at"), F.lit(False).alias("own"))
+    rows = _in_cells(own.unionByName(moved), _quantiles(ticks, width), width)
+    tick = F.when(F.col("own"), F.col("at"))
+    cell = Window.partitionBy("key", "b", "s")
+    # At equal times the moved row comes first: what is before it is earlier, what is behind it is not.
+    earlier = cell.orderBy("at", "own").rowsBetween(Window.unboundedPreceding, -1)
+    later = cell.orderBy(F.desc("at"), F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    lined = rows.withColumn("prev_in", F.max(tick).over(earlier)).withColumn("next_in", F.min(tick).over(later))
+    # One row per cell: bounded by the time span.
+    summary = rows.groupBy("key", "b", "s").agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
+    behind = Window.partitionBy("key").orderBy("b", "s").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("key").orderBy(F.desc("b"), F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = summary.select(
+        "key", "b", "s", F.last("hi", True).over(behind).alias("hi_before"), F.last("lo", True).over(ahead).alias("lo_beyond")
     )
-    in_bucket = Window.partitionBy("key", "b")
-    # Descending with a range frame: a running minimum that includes equal times.
-    later = in_bucket.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    is_own = F.col("target").isNull()
-    earlier = in_bucket.orderBy("us", F.desc("target")).rowsBetween(Window.unboundedPreceding, -1)
-    lined = (
-        own.unionByName(moved)
-        .withColumn("next_in", F.min("target").over(later))
-        .withColumn("before_in", F.max(F.when(is_own, F.col("us"))).over(earlier))
-        .filter(is_own)
-    )
-    return lined.join(edges, ["key", "b"]).select(
-        "key",
-        "us",
-        F.coalesce("before_in", "last_before").alias("before"),
-        F.coalesce("next_in", "first_beyond").alias("after"),
+    previous, following = F.coalesce("prev_in", "hi_before"), F.coalesce("next_in", "lo_beyond")
+    return lined.join(beyond, ["key", "b", "s"]).groupBy("key", "us").agg(
+        F.max(F.when(F.col("own"), previous)).alias("before"),
+        F.max(F.when(~F.col("own"), following)).alias("after"),
+        F.max(F.when(~F.col("own"), previous)).alias("last"),
     )
 
 
 def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
     """The ticks ``(key, us)`` at which a new entry starts: distinct rows of the same columns."""
     near = cut(_with_neighbours(ticks, lifetime))
-    is_head = F.col("before").isNull() | (F.col("us") - F.col("before") >= lifetime)
-    heads = near.filter(is_head).select("key", "us")
-    # A successor two lifetimes away follows a gap, so it is a head already; so are the others cut here.
-    edges = (
-        near.filter(F.col("after") < F.col("us") + 2 * lifetime)
-        .select("key", "us", "after")
-        .join(heads.withColumnRenamed("us", "after"), ["key", "after"], "left_anti")
-    )
+    heads = near.filter(F.col("before").isNull() | (F.col("us") - F.col("before") >= lifetime)).select("key", "us")
+    # A successor that is a head already is left out.
+    edges = near.filter(F.col("after") - F.col("last") < lifetime).select("key", "us", "after")
+    ends = edges.select("key", F.col("after").alias("us")).distinct()
+    edges = cut(edges.join(ends.unionByName(heads), ["key", "us"], "left_semi"))
     # A run of events has one head and its edges stay inside it, so no start is reached twice.
     # Edges of round n jump 2^n starts and carry the first 2^n starts to the next 2^n.  Starts
     # beyond those are ends of such edges, so only edges from an end or a known start are kept;
@@ -102,28 +116,37 @@ def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
 
 
 def _attach(events: DataFrame, starts: DataFrame, lifetime: int) -> DataFrame:
-    """Adds ``start_us``: the start that is alive at each event.
-
-    A bucket holds one start at most, so an event looks at that of its own
-    bucket and that of the one before.
-    """
-    marks = starts.select("key", F.col("us").alias("s"), _bucket(F.col("us"), lifetime).alias("b"))
-    both = marks.select("key", "b", F.col("s").alias("own"), F.lit(None).cast("bigint").alias("last")).unionByName(
-        marks.select("key", (F.col("b") + 1).alias("b"), F.lit(None).cast("bigint").alias("own"), F.col("s").alias("last"))
+    """Adds ``start``: the row of ``starts`` (``key, us`` and more) that is alive at each event, as a struct."""
+    row = F.struct("us", *[c for c in starts.columns if c not in ("key", "us")])
+    marks = starts.select("key", _bucket(F.col("us"), lifetime).alias("b"), row.alias("row"))
+    nothing = F.lit(None).cast(marks.schema["row"].dataType)
+    both = marks.select("key", "b", F.col("row").alias("own"), nothing.alias("last")).unionByName(
+        marks.select("key", (F.col("b") + 1).alias("b"), nothing.alias("own"), F.col("row").alias("last"))
     )
     lookup = both.groupBy("key", "b").agg(F.max("own").alias("own"), F.max("last").alias("last"))
-    start = F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("last"))
-    return (
-        events.withColumn("b", _bucket(F.col("us"), lifetime))
-        .join(lookup, ["key", "b"])
-        .withColumn("start_us", start)
-        .drop("b", "own", "last")
-    )
+    start = F.when(F.col("own.us") <= F.col("us"), F.col("own")).otherwise(F.col("last"))
+    found = spread_join(events.withColumn("b", _bucket(F.col("us"), lifetime)), lookup, ["key", "b"])
+    return found.select(*events.columns, start.alias("start"))
 
 
-def _no_carry(events: DataFrame) -> DataFrame:
-    schema = "key string, start_us bigint, search_us bigint"
-    return events.sparkSession.createDataFrame([], schema)
+def _runs(events: DataFrame, lifetime: int, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The events, moved up to the run that is carried over, and the starts ``key, us, start_id`` of all runs."""
+    if carry is not None:
+        seen = carry.select("key", F.col("start_us").alias("_carried"))
+        late = spread_join(events, seen, ["key"], "left").withColumn("us", F.greatest("us", "_carried"))
+        events = late.select("event_id", "key", "us")
+    first = events.groupBy("key", "us").agg(F.min("event_id").alias("start_id"))
+    if carry is not None:
+        first = (
+            first.unionByName(carry.select("key", F.col("start_us").alias("us"), F.lit(None).cast("bigint").alias("start_id")))
+            .groupBy("key", "us")
+            .agg(F.count_if(F.col("start_id").isNull()).alias("_c"), F.min("start_id").alias("start_id"))
+            .withColumn("start_id", F.when(F.col("_c") == 0, F.col("start_id")))
+            .drop("_c")
+        )
+    first = cut(first)  # ticks are read several times
+    starts = search_starts(first.select("key", "us"), lifetime)
+    return events, cut(first.join(starts, ["key", "us"]))
 
 
 def single_flight(
@@ -136,27 +159,9 @@ def single_flight(
     ``carry(key, start_us, search_us)`` holds the last run of each key from
     earlier data; an event older than that joins it.
     """
-    lifetime = replay_ttl + search_us
-    if carry is not None:
-        # A key's events are dealt into parts, and its one row of state is there for each part.
-        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-        seen = carry.select("key", F.col("start_us").alias("_carried"), parts.alias("_part"))
-        dealt = events.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
-        late = dealt.join(seen, ["key", "_part"], "left").withColumn("us", F.greatest("us", "_carried"))
-        events = late.drop("_carried", "_part")
-    first = events.groupBy("key", "us").agg(F.min("event_id").alias("start_id"))
-    if carry is not None:
-        first = (
-            first.unionByName(carry.select("key", F.col("start_us").alias("us"), F.lit(None).cast("bigint").alias("start_id")))
-            .groupBy("key", "us")
-            .agg(F.count_if(F.col("start_id").isNull()).alias("_c"), F.min("start_id").alias("start_id"))
-            .withColumn("start_id", F.when(F.col("_c") == 0, F.col("start_id")))
-            .drop("_c")
-        )
-    first = cut(first)  # ticks are read several times, events twice
-    starts = search_starts(first.select("key", "us"), lifetime)
-    named = first.join(starts, ["key", "us"]).withColumnRenamed("us", "start_us")
-    return _attach(events, starts, lifetime).join(named, ["key", "start_us"])
+    events, starts = _runs(events, replay_ttl + search_us, carry)
+    found = _attach(events, starts, replay_ttl + search_us)
+    return found.select("event_id", "key", "us", F.col("start.us").alias("start_us"), F.col("start.start_id").alias("start_id"))
 
 
 def query_outcome(
@@ -170,21 +175,24 @@ def query_outcome(
 
     The starter of a run is served from the store while the last real search
     is younger than ``store_ttl``; that is the same rule once more over the
-    starts.  All others replay the run they share.
+    starts.  All others replay the run they share.  Events meet their run once, when
+    it is known whether it searched.
     """
-    runs = cut(single_flight(events, replay_ttl, search_us, carry))
-    starts = runs.select("key", F.col("start_us").alias("us")).distinct()
+    events, starts = _runs(events, replay_ttl + search_us, carry)
+    times = starts.select("key", "us")
     if carry is not None:
-        starts = starts.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
-    searches = search_starts(cut(starts), store_ttl + search_us).select(
-        "key", F.col("us").alias("start_us"), F.lit(True).alias("_searched")
-    )
+        times = times.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
+    searches = search_starts(cut(times), store_ttl + search_us).withColumn("searched", F.lit(True))
+    flagged = cut(starts.join(searches, ["key", "us"], "left"))
+    found = _attach(events, flagged, replay_ttl + search_us)
     outcome = (
-        F.when(F.col("start_id").isNull() | (F.col("event_id") != F.col("start_id")), F.lit("replay"))
-        .when(F.col("_searched"), F.lit("search"))
+        F.when(F.col("start.start_id").isNull() | (F.col("event_id") != F.col("start.start_id")), F.lit("replay"))
+        .when(F.col("start.searched"), F.lit("search"))
         .otherwise(F.lit("store"))
     )
-    return runs.join(searches, ["key", "start_us"], "left").withColumn("outcome", outcome).drop("_searched")
+    return found.select(
+        "event_id", "key", "us", F.col("start.us").alias("start_us"), F.col("start.start_id").alias("start_id"), outcome.alias("outcome")
+    )
 
 
 def carry_over(outcomes: DataFrame, carry: DataFrame | None, horizon_us: int | None = None) -> DataFrame:
@@ -214,13 +222,16 @@ def serving_searches(
     if carry is not None:
         searches = searches.unionByName(carry.select("key", F.col("search_us").alias("us"))).distinct()
     runs = outcomes.select("key", F.col("start_us").alias("us")).distinct()
-    served = _attach(runs, searches, store_ttl + search_us)
-    return served.select("key", F.col("us").alias("start_us"), F.col("start_us").alias("search_us"))
+    served = _attach(cut(runs), searches, store_ttl + search_us)
+    return served.select("key", F.col("us").alias("start_us"), F.col("start.us").alias("search_us"))
 
 
 def replay(attached: DataFrame, results: DataFrame) -> DataFrame:
-    """Every reader gets the full result set of the run it shares, once: results keyed by (key, start_us)."""
-    return attached.join(results, ["key", "start_us"])
+    """Every reader gets the full result set of the run it shares, once: results keyed by (key, start_us).
+
+    A run that very many share is dealt into parts; each of them has all its results.
+    """
+    return spread_join(attached, results, ["key", "start_us"])
 
 
 def read_through(queries: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,9 @@ from pagesift.functions.binding import computed, let
 from pagesift.functions.css import select_by_steps, selector_steps
 from pagesift.functions.text import is_blank
 from pagesift.functions.urls import abs_url, is_result_href, url_escape, url_slug
+from pagesift.operators.skew import spread_join
 from pagesift.sources.captures import latest
+from pagesift.sources.scratch import cut
 
 IMAGE_ATTRIBUTES = ["data-src", "src", "data-original", "data-image"]  # fixed values, in order of preference
 
@@ -57,7 +59,7 @@ def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
     )
     templates = templates.withColumn("_in_host", ~F.col("_head").rlike(_AUTHORITY))
     # Of the captures of one URL the latest counts.
-    urls = latest(captures).select("capture_id", F.col("url").alias("capture_url"))
+    urls = cut(latest(captures).select("capture_id", F.col("url").alias("capture_url")))
     authority = F.length(F.regexp_extract("capture_url", _AUTHORITY, 0))
     pages = urls.select("*", F.explode(_heads(F.col("capture_url"), authority)).alias("_head"))
     short = templates.filter("_in_host").select("_head").distinct()
@@ -75,7 +77,8 @@ def template_captures(captures: DataFrame, links: DataFrame) -> DataFrame:
         & (F.length("capture_url") >= F.length("_prefix") + F.length("_suffix"))
         & ~middle.rlike(f"[{_RESERVED}]")
     )
-    found = pages.join(templates, "_head").filter(fits)
+    # All captures of a large host share its shortest head, whether a template has it or not.
+    found = spread_join(pages, templates, ["_head"]).filter(fits)
     return found.select("capture_id", *links.columns, middle.alias("query_key"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import cache
 from pagesift.operators.ranking import rank_results
+from pagesift.operators.skew import spread_join
 from pagesift.plans.search import search_from_candidates
 from pagesift.sources.results import ResultStore
 from pagesift.sources.scratch import cut
@@ -50,7 +51,7 @@ def answers(outcomes: DataFrame, carry: DataFrame | None, store: ResultStore) ->
     heads = store.headers.read().select(F.col("query").alias("key"), at, "n_results")
     best = store.rows.read().filter("rank = 1").select(F.col("query").alias("key"), at, "title", "result_url")
     served = runs.join(heads, ["key", "search_us"], "left").join(best, ["key", "search_us"], "left")
-    return outcomes.join(served, ["key", "start_us"]).select(
+    return spread_join(outcomes, served, ["key", "start_us"]).select(
         "event_id", F.col("key").alias("query"), "outcome", "search_us", "n_results", "title", "result_url"
     )
 
