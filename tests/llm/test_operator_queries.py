@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_token_counts": ["length", "docs", "docs_from", "tokens_from", "truncated_tokens"],
     "op9_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op12_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
@@ -34,5 +37,5 @@ def test_sql(spark, con, name):
 
 def test_all_are_registered(spark):
     assert set(COLUMNS) == set(QUERIES) and {*QUERIES, "pipeline"} <= set(entry.queries())
-    for name in ("op3_secrets", "op5_licenses", "op6_language", "op8_token_counts", "op10_pieces"):
+    for name in sorted(COLUMNS):
         assert set(COLUMNS[name]) <= set(QUERIES[name](spark, SF).columns)
