@@ -64,39 +64,53 @@ def _quantiles(ticks: DataFrame, width: int) -> DataFrame | None:
     return cut(both.groupBy("key").agg(times.alias("times")))
 
 
-def _with_neighbours(ticks: DataFrame, width: int) -> DataFrame:
-    """Adds ``before`` (previous event of the key), ``after`` (first event ``width`` later or more) and
-    ``last`` (the last event before that time, the tick itself at least)."""
+def _in_order(ticks: DataFrame, width: int, quantiles: DataFrame | None) -> DataFrame:
+    """Adds ``before`` and ``behind``: the previous and the next event of the key."""
+    rows = _in_cells(ticks.withColumn("at", F.col("us")), quantiles, width)
+    cell = Window.partitionBy("key", "b", "s").orderBy("us")
+    lined = rows.withColumn("prev_in", F.lag("us").over(cell)).withColumn("next_in", F.lead("us").over(cell))
+    # One row per cell: bounded by the time span.
+    summary = rows.groupBy("key", "b", "s").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    by_key = Window.partitionBy("key").orderBy("b", "s")
+    beyond = summary.select("key", "b", "s", F.lag("hi").over(by_key).alias("hi_before"), F.lead("lo").over(by_key).alias("lo_beyond"))
+    return lined.join(beyond, ["key", "b", "s"]).select(
+        "key", "us", F.coalesce("prev_in", "hi_before").alias("before"), F.coalesce("next_in", "lo_beyond").alias("behind")
+    )
+
+
+def _successors(ticks: DataFrame, width: int, quantiles: DataFrame | None) -> DataFrame:
+    """Adds ``after`` (first event ``width`` later or more) and ``last`` (the last event before that time)."""
     own = ticks.select("key", "us", F.col("us").alias("at"), F.lit(True).alias("own"))
     moved = ticks.select("key", "us", (F.col("us") + width).alias("at"), F.lit(False).alias("own"))
-    rows = _in_cells(own.unionByName(moved), _quantiles(ticks, width), width)
+    rows = _in_cells(own.unionByName(moved), quantiles, width)
     tick = F.when(F.col("own"), F.col("at"))
     cell = Window.partitionBy("key", "b", "s")
     # At equal times the moved row comes first: what is before it is earlier, what is behind it is not.
     earlier = cell.orderBy("at", "own").rowsBetween(Window.unboundedPreceding, -1)
     later = cell.orderBy(F.desc("at"), F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
     lined = rows.withColumn("prev_in", F.max(tick).over(earlier)).withColumn("next_in", F.min(tick).over(later))
-    # One row per cell: bounded by the time span.
     summary = rows.groupBy("key", "b", "s").agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
+    # Cells may hold moved rows only, so the nearest one with a tick counts.
     behind = Window.partitionBy("key").orderBy("b", "s").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("key").orderBy(F.desc("b"), F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     beyond = summary.select(
         "key", "b", "s", F.last("hi", True).over(behind).alias("hi_before"), F.last("lo", True).over(ahead).alias("lo_beyond")
     )
-    previous, following = F.coalesce("prev_in", "hi_before"), F.coalesce("next_in", "lo_beyond")
-    return lined.join(beyond, ["key", "b", "s"]).groupBy("key", "us").agg(
-        F.max(F.when(F.col("own"), previous)).alias("before"),
-        F.max(F.when(~F.col("own"), following)).alias("after"),
-        F.max(F.when(~F.col("own"), previous)).alias("last"),
+    return lined.filter("not own").join(beyond, ["key", "b", "s"]).select(
+        "key", "us", F.coalesce("next_in", "lo_beyond").alias("after"), F.coalesce("prev_in", "hi_before").alias("last")
     )
 
 
 def search_starts(ticks: DataFrame, lifetime: int) -> DataFrame:
     """The ticks ``(key, us)`` at which a new entry starts: distinct rows of the same columns."""
-    near = cut(_with_neighbours(ticks, lifetime))
-    heads = near.filter(F.col("before").isNull() | (F.col("us") - F.col("before") >= lifetime)).select("key", "us")
-    # A successor that is a head already is left out.
-    edges = near.filter(F.col("after") - F.col("last") < lifetime).select("key", "us", "after")
+    quantiles = _quantiles(ticks, lifetime)
+    near = cut(_in_order(ticks, lifetime, quantiles))
+    since, until = F.col("us") - F.col("before"), F.col("behind") - F.col("us")
+    heads = near.filter(F.col("before").isNull() | (since >= lifetime)).select("key", "us")
+    # A tick with no other one within a lifetime on either side is a head, and no one's successor but
+    # as a head: it takes no part.  A successor that is a head already is left out.
+    linked = near.filter((since < lifetime) | (until < lifetime)).select("key", "us")
+    edges = cut(_successors(linked, lifetime, quantiles).filter(F.col("after") - F.col("last") < lifetime).select("key", "us", "after"))
     ends = edges.select("key", F.col("after").alias("us")).distinct()
     edges = cut(edges.join(ends.unionByName(heads), ["key", "us"], "left_semi"))
     # A run of events has one head and its edges stay inside it, so no start is reached twice.
