@@ -43,14 +43,22 @@ def discovery_report(captures: DataFrame, pages: DataFrame, rules: Rules) -> Dat
         "url", "probe_no", "probe_url"
     )
     located = cut(locate(wanted, captures, "probe_url"))
-    times = (
+    probes = parse_pages(located.join(captures.select("capture_id", "html"), "capture_id"))
+    selectors = cards.find_card_selectors(probes, "url").withColumnRenamed("reject_reason", "card_reason")
+    return assembled(linked, probe_times(located, captures), selectors)
+
+
+def probe_times(located: DataFrame, captures: DataFrame) -> DataFrame:
+    """``url, n_captured, response_time`` of the probe pages found, ``located(url, capture_id)``."""
+    return (
         located.join(captures.select("capture_id", "elapsed_ms"), "capture_id")
         .groupBy("url")
         .agg(F.count("*").alias("n_captured"), cards.three_times().alias("response_time"))
     )
-    probes = parse_pages(located.join(captures.select("capture_id", "html"), "capture_id"))
-    selectors = cards.find_card_selectors(probes, "url").withColumnRenamed("reject_reason", "card_reason")
 
+
+def assembled(linked: DataFrame, times: DataFrame, selectors: DataFrame) -> DataFrame:
+    """The report of sites with what their forms, probe times and cards gave."""
     complete = F.coalesce(F.col("n_captured"), F.lit(0)) == 3
     reason = (
         F.when(F.col("form_reason").isNotNull(), F.col("form_reason"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pagesift.operators import cards, directory, forms
 from pagesift.operators.html import parse_pages
 from pagesift.plans import discover, render
+from pagesift.plans import refresh as refreshing
 from pagesift.plans.html_queries import nav_links
 from pagesift.plans.registry import LINKS, NAV, query
 from pagesift.sources import rules as rule_source
 from pagesift.sources.rules import Rules
-from pagesift.sources.scratch import cut
+from pagesift.sources.scratch import cut, scratch_path
 
 RULES = Rules(categories=render.DIRECTORY_CATEGORIES)
 
@@ -479,3 +480,25 @@ def site_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.site_errors(_report(spark, sf_dir))
 
 
+@query(
+    "discover_refresh",
+    f"""with {_OUTCOME} select 'https://s' || site || '.example.com' as url, case when reason is null then selector end as selector,
+        reason as reject_reason,
+        cast(case when site % 10 <> 3 then 0 when path is null or path = '' then 1 else 4 end as bigint) as n_parsed
+      from d""",
+)
+def discover_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery while the homes of every tenth site are under construction, then again when they are finished.
+
+    The second run parses the homes and probes of these sites only; everything was fetched again in between.
+    """
+    captures, pages = _world(spark, sf_dir)
+    site = F.regexp_extract("url", r"^https://s([0-9]+)\.example\.com$", 1).try_cast("bigint")
+    late = F.coalesce(site % 10 == 3, F.lit(False))
+    state = refreshing.DiscoveryState(spark, scratch_path(spark, "discovery"))
+    refreshing.refresh(captures.filter(~late | (F.col("capture_id") < 0)), pages, RULES, state)
+    again = captures.filter("capture_id >= 0").withColumn("capture_id", F.col("capture_id") + 10_000_000_000)
+    second = refreshing.refresh(captures.unionByName(again), pages, RULES, state)
+    parsed = second.parsed.groupBy("url").agg(F.count("*").alias("n_parsed"))
+    sites = second.report.select("url", "selector", "reject_reason")
+    return sites.join(parsed, "url", "full").fillna(0, ["n_parsed"])
