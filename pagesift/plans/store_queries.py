@@ -13,7 +13,7 @@ from pagesift.plans.discovery_queries import RULES, _OUTCOME, _world
 from pagesift.plans.registry import LINKS, PARTS, normal, query
 from pagesift.sources import links as link_source
 from pagesift.sources import results as result_source
-from pagesift.sources.captures import fetch
+from pagesift.sources.captures import CaptureTable, fetch
 from pagesift.sources.links import LinkStore
 from pagesift.sources.ndjson import ndjson as ndjson_lines
 from pagesift.sources.ndjson import result_dto as to_dto
@@ -250,3 +250,18 @@ def result_dto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_dto(_stored(spark, sf_dir).withColumn("id", F.sha2("result_url", 256)))
 
 
+
+
+@query(
+    "captures_bucketed",
+    f"""with {PARTS} select 'https://s' || site || '.example.com/find?q=' || url_encode({normal('first(p_name order by j)')}) as url,
+        site as capture_id, site % 50 as elapsed_ms from p group by site""",
+)
+def captures_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``captures_scan`` over a table bucketed by capture id: bodies are joined where they lie."""
+    path = scratch_path(spark, "captures")
+    table = CaptureTable(spark, path.rsplit("/", 1)[1].replace("-", "_"), path, 32)
+    table.write(render.search_pages(spark, sf_dir))
+    template = F.concat(render.site_url(F.col("site")), F.lit("/find?q={0}"))
+    wanted = render.sites(spark, sf_dir).select(fill_template_uri(template, normalise_string(F.col("first_name"))).alias("url"))
+    return fetch(wanted, table.read()).select("url", "capture_id", "elapsed_ms")

@@ -32,6 +32,64 @@ def read_captures(
     return raw.select(F.col(capture_id).alias("capture_id"), "url", "html", elapsed.alias("elapsed_ms"))
 
 
+#: Rows of one bucketed table come sorted by capture id, when each bucket is one file.
+_SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+class CaptureTable:
+    """Captures bucketed by ``capture_id`` and sorted inside, so that bodies are joined where they lie.
+
+    ``search``, ``fetch`` and discovery match URLs on narrow columns, then join
+    bodies by capture id.  Over this table that join shuffles the wanted ids
+    only: no exchange, and on one file per bucket no sort, above the body scan.
+    The table is known to the session's catalog as ``name``; a session whose
+    catalog does not know it registers the folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int) -> None:
+        self.spark = spark
+        self.name = name
+        self.path = path.rstrip("/")
+        self.buckets = buckets
+
+    def write(self, captures: DataFrame) -> None:
+        """Write the table once, ``captures(capture_id, url, html, elapsed_ms)``; an existing one is an error.
+
+        One task writes one bucket, so ``buckets`` is chosen by size (1 GB of
+        bodies each, say).  A capture without an id cannot be asked for: no
+        join would ever read it, and all of them would be one bucket, so it is
+        not written.  Other columns stay.
+        """
+        (
+            captures.filter(F.col("capture_id").isNotNull())
+            .repartition(self.buckets, "capture_id")
+            .write.bucketBy(self.buckets, "capture_id")
+            .sortBy("capture_id")
+            .option("path", self.path)
+            .saveAsTable(self.name)
+        )
+
+    def read(self) -> DataFrame:
+        """The captures.  The session is set to use the order inside buckets, which holds for one file per bucket."""
+        self.spark.conf.set(_SORTED_BUCKETS, "true")
+        if not self.spark.catalog.tableExists(self.name):
+            schema = self.spark.read.parquet(self.path).schema
+            columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+            self.spark.sql(
+                f"CREATE TABLE {self.name} ({columns}) USING parquet "
+                f"CLUSTERED BY (capture_id) SORTED BY (capture_id) INTO {self.buckets} BUCKETS LOCATION {_literal(self.path)}"
+            )
+        return self.spark.table(self.name)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def latest(captures: DataFrame) -> DataFrame:
     """``url, capture_id``: of the captures of one URL the one with the largest id, as crawls number them.
 
