@@ -197,6 +197,18 @@ def results_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(_filled(spark, sf_dir).get(asked, EARLY)).drop("created_at")
 
 
+@query(
+    "results_lookup",
+    f"""with {_STORED} select query, p_partkey, {_COLUMNS} from stored where query in (
+        select distinct {normal('p_name')} as name from part order by name desc limit 12)""",
+)
+def results_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visitor's last twelve queries, as literals that the store's Bloom filters and page indexes answer."""
+    named = render.table(spark, sf_dir, "part").select(normalise_string(F.col("p_name")).alias("query")).distinct()
+    asked = [r["query"] for r in named.orderBy(F.col("query").desc()).limit(12).collect()]
+    return _rows(_filled(spark, sf_dir).get_few(asked, EARLY)).drop("created_at")
+
+
 @query(
     "results_put",
     f"""with {_STORED} select query, {_SQL_STAMP}, count(*) as n_results, min(title) as first_title from stored

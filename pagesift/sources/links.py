@@ -58,7 +58,7 @@ class LinkStore:
     """The stored form of the functions above."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.table = VersionedTable(spark, path, LINK_DDL)
+        self.table = VersionedTable(spark, path, LINK_DDL, looked_up="id")
 
     def all(self) -> DataFrame:
         return self.table.read()

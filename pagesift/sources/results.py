@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators.ranking import RESULT_COLUMNS
 from pagesift.sources.scratch import cut
-from pagesift.sources.tables import VersionedTable
+from pagesift.sources.tables import VersionedTable, is_one_of
 
 RESULT_DDL = (
     "title string, result_url string, category string, website_title string, search_url string, "
@@ -55,8 +55,8 @@ class ResultStore:
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.headers = VersionedTable(spark, f"{path}/headers", HEADER_DDL, ["created_day", "batch"])
-        self.rows = VersionedTable(spark, f"{path}/rows", ROW_DDL, ["created_day", "batch"])
+        self.headers = VersionedTable(spark, f"{path}/headers", HEADER_DDL, ["created_day", "batch"], "query")
+        self.rows = VersionedTable(spark, f"{path}/rows", ROW_DDL, ["created_day", "batch"], "query")
 
     def _live(self, table: VersionedTable, as_of: str) -> DataFrame:
         first_day = F.to_date(F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {RESULT_TTL}"))
@@ -70,6 +70,12 @@ class ResultStore:
         known = self.live_headers(as_of).select("query", "created_at")
         return stored_results(queries, self._live(self.rows, as_of).join(known, ["query", "created_at"], "left_semi"))
 
+    def get_few(self, queries: list[str], as_of: str) -> DataFrame:
+        """``get`` for a short list of normalised queries, as of one visitor: reads the pages that may hold them."""
+        asked = is_one_of("query", queries)
+        known = self.live_headers(as_of).filter(asked).select("query", "created_at")
+        return self._live(self.rows, as_of).filter(asked).join(known, ["query", "created_at"], "left_semi")
+
     def put(self, searched: DataFrame, ranked: DataFrame, batch: str) -> None:
         """Store finished searches: ``searched(query, created_at)``, and ``ranked`` rows by query.
 

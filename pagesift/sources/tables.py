@@ -5,24 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.sources.scratch import cut
 
+_PAGE_ROWS = 1_000  # rows per page of a table with a looked-up column
+_PUSHED = 10  # values of one IN that Parquet's filters take one by one, by Spark's default; more become a range
+
+
+def is_one_of(column: str, values: list) -> Column:
+    """``column`` is one of a short list of values, in a form that Parquet's filters can test value by value."""
+    chunks = [values[i : i + _PUSHED] for i in range(0, len(values), _PUSHED)]
+    tests = [F.col(column).isin(chunk) for chunk in chunks] or [F.lit(False)]
+    while len(tests) > 1:  # pairwise, so that a long list is no deep expression
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) - len(tests) % 2 :]
+    return tests[0]
+
 
 class VersionedTable:
     """``path/v=<n>`` folders.  A version exists once its ``_SUCCESS`` marker does.
 
     An append adds files to the current version; a rewrite writes the next
     version in full and becomes visible when it commits.
+
+    ``looked_up`` names a column that single values are asked of: files are
+    sorted by it, in short pages, and carry Bloom filters of it, so that a
+    pushed-down equality (``is_one_of``) reads a few pages.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition_by: list[str] | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str, partition_by: list[str] | None = None, looked_up: str | None = None
+    ) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
         self.partition_by = partition_by or []
+        self.looked_up = looked_up
 
     def _glob(self, pattern: str) -> list:
         """Hadoop paths below the table's folder, and the file system they are in."""
@@ -58,18 +77,29 @@ class VersionedTable:
         if self.partition_by:
             # One partition's rows meet in few tasks, so few files; a large partition is split again.
             rows = rows.hint("rebalance", *self.partition_by)
-        out = rows.write.partitionBy(*self.partition_by)
+        out = self._writer(rows)
         folder = self._folder(self._version())
         if self.partition_by:
             out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
         else:
             out.mode("append").parquet(folder)
 
+    def _writer(self, rows: DataFrame) -> DataFrameWriter:
+        if self.looked_up is None:
+            return rows.write.partitionBy(*self.partition_by)
+        options = {
+            f"parquet.bloom.filter.enabled#{self.looked_up}": "true",
+            "parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.page.row.count.limit": str(_PAGE_ROWS),
+        }
+        inside = rows.sortWithinPartitions(*self.partition_by, self.looked_up)
+        return inside.write.partitionBy(*self.partition_by).options(**options)
+
     def _ordered(self, rows: DataFrame) -> DataFrame:
         return rows.select(*self.spark.createDataFrame([], self.schema).columns)
 
     def rewrite(self, rows: DataFrame) -> None:
-        self._ordered(rows).write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder(self._version() + 1))
+        self._writer(self._ordered(rows)).mode("overwrite").parquet(self._folder(self._version() + 1))
 
     def partitions(self) -> dict[tuple[str, ...], object]:
         """Values of the partition columns, as text, and the folder of each partition."""

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,37 @@ def test_ndjson(spark, tmp_path):
         ("title", 'T "x" é'), ("resultUrl", "u"), ("category", "c"), ("websiteTitle", "w"), ("searchUrl", "s"),
         ("websiteStarred", True), ("score", 5), ("imageUrl", None), ("altText", None),
     ]
+
+
+def read_rows(spark, run):
+    """Result of ``run()`` and the rows that its scans gave, from the tasks' input metrics."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "lookup")
+    got = run()
+    spark.sparkContext.setJobGroup("other", "other")
+    tracker, status = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return got, sum(status.lastStageAttempt(s).inputRecords() for s in stages)
+
+
+def test_ten_queries_read_a_small_part_of_the_store(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "results"))
+    n = 300_000
+    queries = spark.range(n).select(F.sha2(F.col("id").cast("string"), 224).alias("query"))
+    searched = queries.withColumn("created_at", F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    ranked = queries.select("query", F.lit(1).cast("bigint").alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in
+        ((f.name, f.dataType) for f in spark.createDataFrame([], RESULT_DDL).schema)])
+    store.put(searched, ranked, "1")
+    asked = [r["query"] for r in queries.limit(10).collect()]
+    at = "2024-01-02 12:00:00"
+    got, read = read_rows(spark, lambda: store.get_few(asked, at).collect())
+    assert sorted(r["query"] for r in got) == sorted(asked)
+    assert 20 <= read < 0.05 * 2 * n, read
+    # Nothing under these names: Bloom filters leave out whole files although the names lie inside their ranges.
+    absent = ["8" + q[1:] + "x" for q in asked]
+    got, none = read_rows(spark, lambda: store.get_few(absent, at).collect())
+    assert got == [] and none == 0, none
+    many = [r["query"] for r in queries.limit(95).collect()]
+    found, some = read_rows(spark, lambda: store.get_few(many, at).collect())
+    assert len(found) == 95 and some < 0.5 * 2 * n, some
+    assert store.get_few([], at).count() == 0
