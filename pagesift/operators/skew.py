@@ -27,17 +27,26 @@ def crowded(rows: DataFrame, *on: str) -> list[int]:
     return [t["item"] for t in found["top"] or [] if t["count"] * SHARE > found["n"]]
 
 
+def crowded_groups(groups: DataFrame, n: str, *on: str) -> list[int]:
+    """As ``crowded``, where the rows of each key are counted already: ``groups`` has a row per key, ``n`` its rows."""
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    found = groups.filter(F.col(n) * SHARE > total).select(F.xxhash64(*on).alias("h")).collect()
+    return [row["h"] for row in found]
+
+
 def is_crowded(keys: list[int], *on: str) -> Column:
     return F.xxhash64(*on).isin(keys) if keys else F.lit(False)
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", keys: list[int] | None = None) -> DataFrame:
     """``many.join(few, on, how)`` for an inner or left join, with the rows of crowded keys in ``PARTS`` parts each.
 
     A row's part comes from its own content, so that a task that is run again deals
-    its rows out alike.  ``many`` is read twice: keep it cheap, or cut it first.
+    its rows out alike.  ``many`` is read twice, so keep it cheap or cut it first,
+    unless the digests of the crowded keys are known and given as ``keys``.
     """
-    keys = crowded(many, *on)
+    if keys is None:
+        keys = crowded(many, *on)
     if not keys:
         return many.join(few, on, how)
     part = F.when(is_crowded(keys, *on), F.pmod(F.xxhash64(F.lit(1), *many.columns), F.lit(PARTS))).otherwise(0)

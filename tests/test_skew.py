@@ -26,8 +26,10 @@ def test_crowded_keys_are_named(spark):
 def test_spread_join_equals_the_plain_one(spark):
     many = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 700}") for i in range(6000)] + [(-1, None)], "event_id long, key string")
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k2", 3), ("k4", None), ("none", 4), (None, 5)], "key string, x int")
-    for how in ("inner", "left"):
-        got = skew.spread_join(many, few, ["key"], how)
+    counted = skew.crowded_groups(many.dropna().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "n", "key")
+    assert counted == skew.crowded(many, "key") and skew.crowded_groups(many.limit(0).groupBy("key").count(), "count", "key") == []
+    for how, keys in (("inner", None), ("left", None), ("inner", counted)):
+        got = skew.spread_join(many, few, ["key"], how, keys)
         want = many.join(few, ["key"], how)
         assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     parts = many.filter("key = 'hot'").select(F.pmod(F.xxhash64(F.lit(1), "event_id", "key"), F.lit(skew.PARTS)).alias("p"))
