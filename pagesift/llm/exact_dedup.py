@@ -4,7 +4,8 @@ Everything is DataFrame code.  A group is folded by aggregates that combine
 before the shuffle, so a group that holds a third of all rows arrives as one row
 per task: the count, the best row, and the smallest and the largest text.  These
 two are equal exactly when all texts of the group are, which is the comparison
-of bytes; no pair of rows is ever formed.
+of bytes; no pair of rows is ever formed.  On the way back the groups' own counts
+tell which are crowded, and the rows of those few are dealt into parts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import column, fresh, whole
+from pagesift.operators.skew import crowded_groups, spread_join
 from pagesift.sources.scratch import cut
 
 #: White space that does not count (fixed value of the contract).
@@ -57,7 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     by_hash = cut(groups(hashed, "_hash").select("_hash", "group_size", "_same", F.col("_best.c").alias("keep_id"), F.col("_best.a").alias("_a")))
     narrow = hashed.select("doc_id", "n_points", "_hash", F.sha2("_norm", 256).alias("text_sha256"))
-    out = decide(narrow.join(by_hash.filter("_same").drop("_same"), "_hash"))
+    hot = crowded_groups(by_hash, "group_size", "_hash")
+    out = decide(spread_join(narrow, by_hash.filter("_same").drop("_same"), ["_hash"], keys=hot))
     collided = by_hash.filter(~F.col("_same")).select("_hash")
     if collided.isEmpty():
         return out

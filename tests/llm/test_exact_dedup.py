@@ -42,6 +42,17 @@ def test_null_and_repeated_ids(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).isEmpty() and exact_dedup.drop_exact_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_a_crowded_group_is_dealt_into_parts(spark):
+    """A third of all rows have one text, in many spellings; with a weak hash they also share it with others."""
+    data = [(i, "a b c"[: 3 + i % 3] + " " * (i % 4) if i % 3 == 0 else f"text {i % 900}") for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    for weak in ({}, {"hash_of": lambda text: F.substring(F.md5(text), 1, 2)}):
+        got = exact_dedup.exact_duplicates(docs, **weak)
+        assert rows(got, *COLUMNS) == brute(data)
+    plan = exact_dedup.exact_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
 def test_no_python_in_the_plan(spark):
     plan = exact_dedup.exact_duplicates(documents(spark, TEXTS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
