@@ -13,7 +13,8 @@ three home keys per fingerprint meet its near keys (at most 108) in an equi-join
 and a popcount verifies each candidate.
 
 Only distinct fingerprints take part: copies collapse in a combining aggregate
-before anything is joined.
+before anything is joined.  At the end the rows of a fingerprint that many documents
+share are dealt into parts before they meet its component.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import bounded_batches, column, fresh, whole
 from pagesift.llm.components import components
+from pagesift.operators.skew import crowded_groups, spread_join
 from pagesift.sources.scratch import cut
 
 SHINGLE_WORDS = 3
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     marked = cut(docs.select(column(id_col).alias("doc_id"), simhash(column(text_col)).alias("fp")))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows")))
     edges = cut(links(distinct.select("fp")).distinct())
     member = components(edges)  # node, component (the smallest fingerprint)
     both = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     smallest = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = classes.join(smallest, "component").select("fp", "component_id", "n_links")
-    out = marked.join(named, "fp")
+    out = spread_join(marked, named, ["fp"], keys=crowded_groups(distinct, "rows", "fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 

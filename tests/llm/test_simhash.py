@@ -6,7 +6,7 @@ import xxhash
 from frames import clashing, documents, rows
 
 from pagesift.llm import simhash
-from pagesift.llm.components import components
+from pagesift.llm.components import are_stars, components
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +97,13 @@ def test_awkward_rows(spark):
     assert rows(simhash.near_duplicates(docs.limit(0))) == []
 
 
+def test_a_crowded_fingerprint_is_dealt_into_parts(spark):
+    data = [(i, None if i % 3 == 0 else f"some words {i % 40} of text {i % 40}") for i in range(1200)]
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == brute(data)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert rows(simhash.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
@@ -115,6 +122,17 @@ def test_drop_keeps_columns_and_one_row_of_each_group(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_a_crowded_centre(spark):
+    """Stars are told from other graphs; one node has most of the links."""
+    star = [(i, 0) for i in range(1, 2000)]
+    assert are_stars(spark.createDataFrame(star, "u int, v int"))
+    for more in ((5, 4), (0, -1), (2001, 7)):
+        assert not are_stars(spark.createDataFrame([*star, more], "u int, v int"))
+    edges = [(1000, i) for i in range(1, 3000) if i != 1000] + [(5000 + i, 5001 + i) for i in range(20)]
+    got = dict(rows(components(spark.createDataFrame(edges, "a int, b int")), "node", "component"))
+    assert got == {**{i: 1 for i in range(1, 3000)}, **{i: 5000 for i in range(5000, 5021)}}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
