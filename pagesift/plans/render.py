@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.urls import fill_template_form, fill_template_uri
 from pagesift.functions.text import normalise_string
-from pagesift.sources.captures import spread
+from pagesift.sources.captures import dealt, spread
 from pagesift.sources.links import link_id
 from pagesift.sources.rules import NONSENSE_QUERY, PROBE_QUERIES
 
@@ -181,7 +181,7 @@ def home_html(variant: Column, number: Column) -> Column:
 def customer_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """captures: one home page per customer."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey")).select(
         key.alias("capture_id"),
         fmt("https://c{k}.example.com/shop/index", k=key).alias("url"),
         home_html(key % len(HOME_FORMS), key % 10).alias("html"),

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import cards, directory, forms
 from pagesift.operators.html import parse_pages
-from pagesift.plans import discover
+from pagesift.plans import discover, render
 from pagesift.plans.search import search
 from pagesift.operators.ranking import dispatch_order, rank_results
 from pagesift.sources.rules import Rules, read_rules
@@ -221,3 +221,13 @@ def test_card_discovery_has_one_exchange_and_is_linear(spark):
         assert cards.diff_candidates(probes(n), "site").count() == 2 * (3 * n + 2)
         took[n] = time.perf_counter() - start
     assert took[8000] < 8 * took[2000]
+
+
+def test_customer_homes_of_one_row_group_are_many_tasks(spark, tmp_path):
+    rows = 25_000
+    made = spark.range(rows).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("c_custkey"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    homes = render.customer_homes(spark, str(tmp_path))
+    tasks = homes.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(t["n"] for t in tasks) == rows
+    assert max(t["n"] for t in tasks) < 1.1 * rows / spark.sparkContext.defaultParallelism
