@@ -42,9 +42,14 @@ def fmt(template: str, **values: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with their site and place ``j`` on the site's page."""
-    return table(spark, sf_dir, "part").select(
+#: Rows that a task takes where a short text is made of each of them.
+TEXT_ROWS = 100_000
+
+
+def parts(spark: SparkSession, sf_dir: str, for_cards: bool = False) -> DataFrame:
+    """Parts with their site and place ``j`` on the site's page; dealt out where a card is made of each."""
+    columns = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return (dealt(columns, TEXT_ROWS) if for_cards else columns).select(
         "p_partkey",
         "p_name",
         "p_brand",
@@ -82,7 +87,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct normalised queries: the part names."""
-    return table(spark, sf_dir, "part").select(normalise_string(F.col("p_name")).alias("query")).distinct()
+    names = dealt(table(spark, sf_dir, "part").select("p_name"), TEXT_ROWS)
+    return names.select(normalise_string(F.col("p_name")).alias("query")).distinct()
 
 
 def card() -> Column:
@@ -123,7 +129,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """captures: one search page per site, with the cards of its parts."""
     site = F.col("site")
     made = (
-        parts(spark, sf_dir)
+        parts(spark, sf_dir, for_cards=True)
         .withColumn("card", card())
         .groupBy("site")
         .agg(
@@ -269,7 +275,7 @@ def probe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<div class='card c{c}'><a href='/p/{k}'><img data-src='/img/{k}.png'></a><h2>{n}</h2><p>{t}</p></div>", **v
     )
     cards = (
-        parts(spark, sf_dir)
+        parts(spark, sf_dir, for_cards=True)
         .withColumn("probe_no", F.expr("1 + j % 2"))
         .groupBy("site", "probe_no")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("j"), one.alias("card")))).alias("cards"))

@@ -12,7 +12,7 @@ from pagesift.plans.registry import normal, query
 from pagesift.plans.answer import answer_log as run_answer_log
 from pagesift.plans.search import scored_candidates, search_candidates, search_from_candidates
 from pagesift.plans.search_queries import _COLUMNS, RANKED
-from pagesift.sources.captures import spread
+from pagesift.sources.captures import dealt, spread
 from pagesift.sources.results import ResultStore, live
 from pagesift.sources.scratch import cut, scratch_path
 from pagesift.streaming.answer_stream import answer_stream as run_answer_stream
@@ -47,19 +47,39 @@ def _keyed(events: DataFrame) -> DataFrame:
     return events.select("event_id", normalise_string(q).alias("key"), us.alias("us"))
 
 
+def _dealt_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return dealt(spread(render.table(spark, sf_dir, "events").select(*columns)), render.TEXT_ROWS)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spread(render.table(spark, sf_dir, "events").select("event_id", "event_type", "props", "ts")))
+    """The keyed events, written once: a key is text from JSON, and every reader below takes the events several times."""
+    return cut(_keyed(_dealt_events(spark, sf_dir, "event_id", "event_type", "props", "ts")))
+
 
+#: Events in one file of a micro-batch, about.
+_FILE_EVENTS = 250_000
 
-def _in_files(events: DataFrame, files: int) -> DataFrame:
-    """Events as a stream of files in time order, one file a micro-batch."""
+
+def _in_files(events: DataFrame, batches: int) -> DataFrame:
+    """Events as a stream in time order: each micro-batch has the same number of files, more than one for many events."""
     spark, path = events.sparkSession, scratch_path(events.sparkSession, "events")
-    span = events.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
-    for n in range(files):
-        lo, hi = (span["a"] + (span["b"] + 1 - span["a"]) * k // files for k in (n, n + 1))
+    span = events.agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n")).first()
+    files = max(1, -(-span["n"] // (batches * _FILE_EVENTS)))
+    nothing = spark.createDataFrame([], events.schema).coalesce(1)
+    for n in range(batches):
+        lo, hi = (span["a"] + (span["b"] + 1 - span["a"]) * k // batches for k in (n, n + 1))
         # One range after the other, so that the stream finds the files in order of time.
-        events.filter((F.col("us") >= lo) & (F.col("us") < hi)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some = events.filter((F.col("us") >= lo) & (F.col("us") < hi))
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(path)
+        # A task without rows writes no file, and a micro-batch must not take files of the next range.
+        for _ in range(files * (n + 1) - _files_in(spark, path)):
+            nothing.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _files_in(spark: SparkSession, path: str) -> int:
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    return len(pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or [])
 
 
 @query("single_flight", f"with recursive {_EVENTS} select event_id, start_id from r")
@@ -222,9 +242,10 @@ _ANSWERS = f"""with recursive {_ASKED}, {RANKED},
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events(event_id, key, us): every event asks for the part whose key it carries."""
-    events = spread(render.table(spark, sf_dir, "events").select("event_id", "props", "ts"))
+    events = _dealt_events(spark, sf_dir, "event_id", "props", "ts")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    names = render.table(spark, sf_dir, "part").select("p_partkey", normalise_string(F.col("p_name")).alias("key"))
+    parts = dealt(render.table(spark, sf_dir, "part").select("p_partkey", "p_name"), render.TEXT_ROWS)
+    names = parts.select("p_partkey", normalise_string(F.col("p_name")).alias("key"))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.join(names, k == F.col("p_partkey")).select("event_id", "key", us.alias("us"))
 
