@@ -157,7 +157,8 @@ def links(prints: DataFrame) -> DataFrame:
     here = keyed(prints, home_keys, "a")
     there = keyed(prints, near_keys, "b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS
-    found = here.join(there, "key").filter((F.col("a") != F.col("b")) & close)
+    # Spark sizes the keys as the fingerprints that they are made of, though each gives up to 108, and would broadcast them.
+    found = here.hint("merge").join(there, "key").filter((F.col("a") != F.col("b")) & close)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

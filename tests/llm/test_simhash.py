@@ -122,6 +122,26 @@ def test_drop_keeps_columns_and_one_row_of_each_group(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).isEmpty()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of all tables that simhash writes between its steps."""
+    plans = []
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: (plans.append(plan_of(df)), cut(df))[1])
+    return plans
+
+
+@pytest.mark.parametrize("operator", [simhash.drop_near_duplicates])
+def test_keys_are_not_broadcast(spark, written, operator):
+    """A fingerprint becomes up to 108 keys, which the size of its file does not tell."""
+    operator(spark.createDataFrame([(i, f"some words {i} of text {i}") for i in range(300)], "doc_id bigint, text string"))
+    keys = [plan for plan in written if "MapInArrow" in plan]
+    assert len(keys) == 1 and "SortMergeJoin" in keys[0] and "Broadcast" not in keys[0]
+
+
 def test_a_crowded_centre(spark):
     """Stars are told from other graphs; one node has most of the links."""
     star = [(i, 0) for i in range(1, 2000)]
