@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = cut(classes)
     smallest = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(smallest, "component").select("fp", "component_id", "n_links")
-    out = spread_join(marked, named, ["fp"], keys=crowded_groups(distinct, "rows", "fp"))
+    # Rows for each fingerprint and document: in a broadcast they take many times the bytes of their files.
+    named = classes.hint("merge").join(smallest, "component").select("fp", "component_id", "n_links")
+    out = spread_join(marked.hint("merge"), named, ["fp"], keys=crowded_groups(distinct, "rows", "fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 

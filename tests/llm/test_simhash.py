@@ -134,7 +134,7 @@ def written(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("operator", [simhash.drop_near_duplicates])
+@pytest.mark.parametrize("operator", [simhash.drop_near_duplicates, simhash.near_duplicates])
 def test_keys_are_not_broadcast(spark, written, operator):
     """A fingerprint becomes up to 108 keys, which the size of its file does not tell."""
     operator(spark.createDataFrame([(i, f"some words {i} of text {i}") for i in range(300)], "doc_id bigint, text string"))
@@ -142,6 +142,17 @@ def test_keys_are_not_broadcast(spark, written, operator):
     assert len(keys) == 1 and "SortMergeJoin" in keys[0] and "Broadcast" not in keys[0]
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_documents_are_not_broadcast(spark, copies):
+    """Nor are fingerprints; with three copies of most texts, one of them is crowded and dealt into parts."""
+    data = [(i, "one text" if copies > 1 and i % 2 else f"some words {i // copies} of text {i // copies}") for i in range(600)]
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert ("_part" in plan_of(found)) == (copies > 1)
+    assert plan_of(found).count("SortMergeJoin") == 2 and "Broadcast" not in plan_of(found)
+    assert rows(found) == brute(data)
+    assert "Broadcast" not in plan_of(found)  # nor as the joins were planned anew on the way
+
+
 def test_a_crowded_centre(spark):
     """Stars are told from other graphs; one node has most of the links."""
     star = [(i, 0) for i in range(1, 2000)]
